@@ -1,14 +1,19 @@
 """The operators' queries over the tables of a folder, with SQL where SQL can express them."""
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, packing, toxicity
-from corpusloom.llm.common import table
+from corpusloom.llm import decontaminate, htmltext, licenses, linededup, packing, quality, simhash, tokencounts, toxicity, warc
+from corpusloom.llm.common import new_path, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
 
 def query(function):
     QUERIES[function.__name__] = function
@@ -59,3 +64,83 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of at most 4096 ids."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.grouped(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the lines of later copies of repeated runs."""
+    left = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "deleted_lines", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length histogram of all documents with its suffix sums."""
+    return tokencounts.with_suffix_sums(tokencounts.length_histogram(table(spark, sf_dir, "documents")))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; the field is trained on a bounded sample of labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality.trained(docs, table(spark, sf_dir, "labels"))
+    judged = docs.select("doc_id", quality.quality(field, F.col("text")).alias("q"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words", "n_lines", "content_lines")
+    return judged.select("doc_id", *[f"q.{n}" for n in names])
+
+
+@query
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families found in every document."""
+    found = table(spark, sf_dir, "documents").select("doc_id", licenses.license_paragraphs(F.col("text"), licenses.trained()).alias("p"))
+    sure = F.filter("p", lambda x: (x["family"] != licenses.UNKNOWN) & x["confirmed"])
+    families = F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"])))
+    return found.select(
+        "doc_id",
+        F.size("p").cast("long").alias("n_cued"),
+        F.size(sure).cast("long").alias("n_confirmed"),
+        F.array_join(families, ",").alias("families"),
+        F.array_join(F.transform(sure, lambda x: x["n"].cast("string")), ",").alias("lines"),
+        F.coalesce(F.array_max(F.transform(sure, lambda x: x["probability"])), F.lit(0.0)).alias("probability"),
+    )
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its record came back from archives written to the shared folder."""
+    pages = table(spark, sf_dir, "pages")
+    path = new_path(spark, "warc")
+    warc.write_pages(pages, path)
+    records = warc.read_records(spark, path)
+    kind = pages.schema["page_id"].dataType
+    return records.select(
+        warc.page_of(F.col("record_id"), kind).alias("page_id"),
+        "payload_bytes",
+        F.coalesce(F.sha1("payload"), F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        warc.page_of(F.col("refers_to_id"), kind).alias("refers_to"),
+    )
+
+
+ORACLES["op9_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < top THEN top END AS refers_to
+FROM p LEFT JOIN m USING (d)
+"""
+
+
+@query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = htmltext.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
