@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import row_udf
+from corpusloom.llm.common import checkpointed, labelled_sample, row_udf
 
 #: Labelled rows of each class that the lexicon is fitted on, chosen by the hash of their id; the only bound.
 SAMPLE = 4000
@@ -136,10 +136,10 @@ def _fit(rows: list[tuple[float, int, int]]) -> tuple[float, float, float]:
     return best[1:]
 
 
-def learn(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> Lexicon:
-    """A lexicon from rows with a text and a label 0 or 1: at most ``sample`` of each class, by the hash of ``key``."""
-    rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
-    picked = [rows.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k", F.xxhash64("t")).select("t", "y").limit(sample) for y in (1, 0)]
+def learn(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Lexicon:
+    """A lexicon from a bounded sample of rows with a text and a label 0 or 1, which is written to the shared folder."""
+    rows = checkpointed(labelled.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y")))
+    toxic, clean = rows.where("y = 1"), rows.where("y = 0")
     parts = 6
 
     def tallied(df: DataFrame, make) -> DataFrame:
@@ -154,7 +154,6 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "toxic", key: st
 
         return df.select("t").repartition(parts).mapInArrow(run, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
 
-    toxic, clean = picked
     n_toxic, n_clean = toxic.count(), clean.count()
     if not n_toxic or not n_clean:
         p = min(1 - 1e-6, max(1e-6, n_toxic / (n_toxic + n_clean))) if n_toxic + n_clean else 0.01
@@ -222,8 +221,6 @@ def toxicity(lexicon: Lexicon, text: Column) -> Column:
     return row_udf(make, RESULT)(text)
 
 
-def learned_from(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", **options) -> Lexicon:
-    """A lexicon from the labelled documents that aren't held out."""
-    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(known, "doc_id")
-    return learn(rows, **options)
+def learned_from(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Lexicon:
+    """A lexicon from labelled documents that aren't held out: at most ``sample`` of each class, by the hash of the id."""
+    return learn(labelled_sample(docs, labels.where(~held_out(F.col(doc_id))), doc_id, text, label, sample), "t", "y")
