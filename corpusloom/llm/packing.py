@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.tokens import encoder
 
-CAPACITY, END_ID, WINDOWS, PIECE, WORST_PADDING = 4096, 2, 128, 1024, 0.004
+CAPACITY, END_ID, WINDOWS, PIECE, WORST_PADDING = 4096, 2, 128, 512, 0.01
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
@@ -100,7 +100,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     fields = [T.StructField("doc_id", kind)] + [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
     schema = T.StructType(fields + [T.StructField("ids", T.BinaryType())] * with_ids)
     end = end_id.to_bytes(4, "little")
-    full = capacity * windows - max(1, capacity * windows // 512)  # a little room lets near-equal windows fit at once
+    full = capacity * windows - max(1, capacity * windows // 256)  # a little room lets near-equal windows fit at once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
