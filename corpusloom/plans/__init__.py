@@ -1 +1,3 @@
 """Named query plans: what __spark_entry__ registers."""
+
+from corpusloom.plans import corpus, evaluation  # noqa: F401  they register their queries
