@@ -40,10 +40,14 @@ def strided(rows: DataFrame, ordinal: str, start: int, step: int) -> DataFrame:
 
 def stories(spark: SparkSession, path: str, separator: str = "<|endoftext|>") -> DataFrame:
     """Stories between separators: story_id counts non-empty stories in file order, text is trimmed."""
-    escaped = separator.replace("|", "\\|")
-    rows = spark.read.option("lineSep", escaped).text(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    rows = spark.read.option("lineSep", separator).text(path).select("value", *place)
     rows = rows.select("file", "block", "at", F.regexp_replace("value", r"^\s+|\s+$", "").alias("text")).where("text <> ''")
-    return rows.select((F.row_number().over(Window.orderBy("file", "block", "at")) - 1).cast("long").alias("story_id"), "text")
+    # numbered within each block of a file, then moved up by the blocks before it: a row a block is all that one task sees
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", before.alias("before"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    return rows.withColumn("inside", inside).join(blocks, ["file", "block"]).select((F.col("before") + F.col("inside")).alias("story_id"), "text")
 
 
 def books(spark: SparkSession, folder: str) -> DataFrame:
