@@ -46,7 +46,8 @@ class _Pieces(dict):
             if low == piece:
                 spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
                 return struct.pack(f"<{len(found := self.word(spelt))}I", *[t.id for t in found])
-        elif cut := _TAIL.match(piece):  # letters or digits, then stops: no token has both
+        elif (cut := _TAIL.match(piece)) and max(cut[1]) < "\u0250" and len(cut[1].lower()) == len(cut[1]):
+            # letters or digits that stay such when lower-cased, then stops: no token has both
             return self[cut[1]] + self[cut[2]]
         return struct.pack(f"<{len(found := self.tokenizer.encode(piece, add_special_tokens=False).ids)}I", *found)
 

