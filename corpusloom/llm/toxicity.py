@@ -32,8 +32,8 @@ from corpusloom.llm.common import checkpointed, labelled_sample, row_udf
 SAMPLE = 4000
 #: Lengths of the word beginnings that can be terms, and the most terms that are kept.
 SHORTEST, LONGEST, MOST_TERMS = 4, 12, 5000
-#: A term is in so many toxic documents at least, and its log odds ratio is so high.
-SUPPORT, LOG_ODDS = 5, 3.0
+#: A term is in so many toxic documents at least, and its log odds ratio less its standard error is so high.
+SUPPORT, LOG_ODDS = 3, 2.8
 
 # Letters that look alike, and what stands for letters within words.
 _HOMOGLYPHS = str.maketrans("аеорсухіјѕӏвкмнтԁԛԝɡαοενιρτυχκμßıłøđħ", "aeopcyxijslbkmhtdqwgaoevipruxkmsilodh")
@@ -158,14 +158,17 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Lexi
     if not n_toxic or not n_clean:
         p = min(1 - 1e-6, max(1e-6, n_toxic / (n_toxic + n_clean))) if n_toxic + n_clean else 0.01
         return Lexicon({}, intercept=math.log(p / (1 - p)))
-    support = SUPPORT if n_toxic >= 200 else 2
-    often = tallied(toxic, lambda: lambda s: beginnings(set(s.split()))).where(F.col("n") >= support)
+    often = tallied(toxic, lambda: lambda s: beginnings(set(s.split()))).where(F.col("n") >= SUPPORT)
     often = {r.s: r.n for r in often.orderBy(F.desc("n"), "s").limit(20 * MOST_TERMS).collect()}  # bounded by the sample
     sent = toxic.sparkSession.sparkContext.broadcast(set(often))
     in_clean = {r.s: r.n for r in tallied(clean, lambda: lambda s: beginnings(set(s.split())) & sent.value).collect()}
-    odds = {s: math.log((n + 0.5) / (n_toxic - n + 0.5)) - math.log((c := in_clean.get(s, 0)) + 0.5) + math.log(n_clean - c + 0.5) for s, n in often.items()}
+    odds, sure = {}, {}
+    for s, n in often.items():
+        c = in_clean.get(s, 0)
+        odds[s] = math.log((n + 0.5) / (n_toxic - n + 0.5)) - math.log((c + 0.5) / (n_clean - c + 0.5))
+        sure[s] = odds[s] - math.sqrt(1 / (n + 0.5) + 1 / (c + 0.5))
     terms: dict[str, float] = {}
-    for s in sorted((s for s, w in odds.items() if w >= LOG_ODDS), key=lambda s: (len(s), s)):
+    for s in sorted((s for s, w in sure.items() if w >= LOG_ODDS), key=lambda s: (len(s), s)):
         shorter = max((terms[s[:n]] for n in range(SHORTEST, len(s)) if s[:n] in terms), default=0.0)
         if odds[s] > shorter + 1.0:  # a longer beginning only where it says clearly more
             terms[s] = odds[s]
