@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 
 
 def hash_rank(rows: DataFrame, key: str, seed: int, name: str = "rank") -> DataFrame:
-    """Adds the rows' place in a seeded order (md5 of seed and key), from 0."""
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    return rows.withColumn(name, (F.row_number().over(Window.orderBy(h, key)) - 1).cast("long"))
+    """Adds the rows' place in a seeded order (md5 of seed and key), from 0.
+
+    Rows are numbered within 65,536 ranges of the hash and moved up by the ranges before theirs.
+    """
+    rows = rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))).withColumn("_range", F.left("_h", F.lit(4)))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_h", key)) - 1
+    return rows.join(before, "_range").withColumn(name, (F.col("_before") + inside).cast("long")).drop("_h", "_range", "_before")
 
 
 def permutation(spark: SparkSession, n: int, seed: int) -> DataFrame:
@@ -27,9 +33,8 @@ def permutation(spark: SparkSession, n: int, seed: int) -> DataFrame:
 
 def split_train_val(rows: DataFrame, key: str, percent: int, seed: int) -> DataFrame:
     """Adds ``split``: the first max(1, n * percent / 100) rows of the seeded order are val."""
-    ranked = hash_rank(rows, key, seed, "_rank").withColumn("_n", F.count("*").over(Window.partitionBy()))
-    cut = F.greatest(F.lit(1), F.expr(f"_n * {percent} div 100"))
-    return ranked.withColumn("split", F.when(F.col("_rank") < cut, "val").otherwise("train")).drop("_rank", "_n")
+    cut = max(1, rows.count() * percent // 100)
+    return hash_rank(rows, key, seed, "_rank").withColumn("split", F.when(F.col("_rank") < cut, "val").otherwise("train")).drop("_rank")
 
 
 def hash_split(key: str, percent: int, seed: int) -> Column:
@@ -65,9 +70,9 @@ def mixture(tasks: list[DataFrame], seed: int = 42, ordinal: str = "local_idx")
     return hash_rank(rows.drop("ord"), "_k", seed, "ord").drop("_k")
 
 
-def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
-    """Adds ``batch``: runs of ``size`` rows in order."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
+def batches(rows: DataFrame, ordinal: str, size: int) -> DataFrame:
+    """Adds ``batch``: runs of ``size`` rows by their ordinal."""
+    return rows.withColumn("batch", F.floor(F.col(ordinal) / size))
 
 
 def few_shot(pool: DataFrame, key: str, shots: int, seed: int) -> DataFrame:

@@ -12,6 +12,7 @@ from corpusloom.operators import ordering
 from corpusloom.operators import vocabulary as vo
 from corpusloom.plans import sql
 from corpusloom.plans.catalog import query
+from corpusloom.sources.shared import written
 from corpusloom.sources.tables import missing, table, with_shards
 
 MIN = sql.MIN_COUNT
@@ -26,8 +27,8 @@ def vocab(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ids(spark: SparkSession, sf: str) -> DataFrame:
-    """The id stream: tokens of the lookup, all others as unknown."""
-    return vo.with_ids(stream(spark, sf), vo.lookup(vocab(spark, sf), MIN)).select("doc_id", "pos", "clause", "cpos", "clen", "id")
+    """The id stream: tokens of the lookup, all others as unknown. The lookup, of vocabulary size, is written down once."""
+    return vo.with_ids(stream(spark, sf), written(vo.lookup(vocab(spark, sf), MIN))).select("doc_id", "pos", "clause", "cpos", "clen", "id")
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -315,7 +316,7 @@ def shard_manifest(spark, sf):
 
     docs = table(spark, sf, "documents").where("text is not null")
     rows = docs.select("doc_id", F.when(F.col("doc_id") % 10 == 0, "val").otherwise("train").alias("split"), F.length("text").cast("long").alias("n"))
-    return manifest(with_shards(rows, "split", ["doc_id"], 100), "n")
+    return manifest(with_shards(rows, "split", "doc_id", 100), "n")
 
 
 @query("resume_anti_join", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

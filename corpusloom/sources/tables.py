@@ -74,10 +74,22 @@ def write_json_lines(rows: DataFrame, path: str, gzip: bool = False) -> None:
     rows.select(*sorted(rows.columns)).write.mode("overwrite").option("compression", "gzip" if gzip else "none").json(path)
 
 
-def with_shards(rows: DataFrame, split: str, order: list[str], per_shard: int) -> DataFrame:
-    """Adds ``shard``: rows of each split are numbered in order, ``per_shard`` to a shard."""
-    number = F.row_number().over(Window.partitionBy(split).orderBy(*order)) - 1
-    return rows.withColumn("shard", F.floor(number / per_shard))
+def numbered(rows: DataFrame, within: list[str], order: str, name: str, block: int = 1024) -> DataFrame:
+    """Adds the rows' place, from 0, by a whole-number column ``order`` within the columns ``within``.
+
+    Rows are numbered in blocks of neighbouring values and moved up by the blocks before theirs, so a group of
+    any size is spread over tasks.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col(order) / block))
+    blocks = Window.partitionBy(*within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*within, "_block").agg(F.count("*").alias("_n")).select(*within, "_block", F.coalesce(F.sum("_n").over(blocks), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*within, "_block").orderBy(order)) - 1
+    return rows.join(before, [*within, "_block"]).withColumn(name, F.col("_before") + inside).drop("_block", "_before")
+
+
+def with_shards(rows: DataFrame, split: str, order: str, per_shard: int) -> DataFrame:
+    """Adds ``shard``: rows of each split are numbered by the id ``order``, ``per_shard`` to a shard."""
+    return numbered(rows, [split], order, "_at").withColumn("shard", F.floor(F.col("_at") / per_shard)).drop("_at")
 
 
 def write_shards(rows: DataFrame, path: str, split: str = "split") -> None:

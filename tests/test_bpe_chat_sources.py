@@ -92,7 +92,7 @@ def test_files(spark, tmp_path):
 
 def test_shards(spark, tmp_path):
     rows = spark.createDataFrame([("train" if i < 5 else "val", i, 3) for i in range(7)], "split string, doc_id long, n long")
-    sharded = tables.with_shards(rows, "split", ["doc_id"], 2)
+    sharded = tables.with_shards(rows, "split", "doc_id", 2)
     tables.write_shards(sharded, str(tmp_path / "sh"))
     assert {(r["split"], r.shard): (r.n_examples, r.n_tokens) for r in tables.manifest(sharded, "n").collect()} == {("train", 0): (2, 6), ("train", 1): (2, 6), ("train", 2): (1, 3), ("val", 0): (2, 6)}
     assert tables.read_shards(spark, str(tmp_path / "sh"), "train", start_shard=1).count() == 3
