@@ -155,6 +155,7 @@ def later_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         k += 1
     place = F.struct("d", "th", "n")
     first = runs.groupBy("w", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    first = checkpointed(first)  # a join with the sums themselves would keep their partitions, and none of them could be split
     return runs.join(first, ["w", "a", "b"]).where(~place.eqNullSafe(F.col("first"))).select("d", "th", "n", "w")
 
 

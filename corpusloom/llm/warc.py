@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import row_udf
+from corpusloom.llm.common import checkpointed, row_udf
 
 LEAST_BYTES, SEGMENT_CHARS, CHUNK_CHARS, FILE_RECORDS = 1000, 16_384, 4096, 2000
 
@@ -78,6 +78,7 @@ def write_pages(pages: DataFrame, path: str, page_id: str = "page_id", url: str
     text = F.coalesce(F.col(payload), F.lit(""))
     own = pages.select(F.col(page_id).alias("page"), F.col(url).alias("url"), text.alias("payload"), F.sha1(text.cast("binary")).alias("digest"), F.octet_length(text).alias("bytes"))
     largest = own.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("page").alias("largest"), F.min("page").alias("smallest")).where("smallest < largest").drop("smallest")
+    largest = checkpointed(largest)  # a join with the sums themselves would keep their partitions, and none of them could be split
     response = F.when(F.col("page") < F.col("largest"), F.col("largest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
