@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+#: Rows of an Arrow batch that are Python objects at once.
+ROWS = 256
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,12 +59,15 @@ def row_udf(make: Callable[[], Callable], schema: T.DataType, inputs: int = 1) -
     def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         f = make()
         for x in batches:
-            yield pa.array([f(v) for v in x.to_pylist()], arrow)
+            yield joined([pa.array([f(v) for v in x.slice(i, ROWS).to_pylist()], arrow) for i in range(0, len(x), ROWS)])
 
     def many(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         f = make()
         for xs in batches:
-            yield pa.array([f(*v) for v in zip(*(x.to_pylist() for x in xs), strict=True)], arrow)
+            yield joined([pa.array([f(*v) for v in zip(*(x.slice(i, ROWS).to_pylist() for x in xs), strict=True)], arrow) for i in range(0, len(xs[0]), ROWS)])
+
+    def joined(parts: list[pa.Array]) -> pa.Array:
+        return pa.concat_arrays(parts) if parts else pa.array([], arrow)
 
     run = one if inputs == 1 else many
     return F.arrow_udf(run, schema).asNondeterministic()

@@ -13,7 +13,7 @@ import struct
 #: Tokenizer whose tokens never span a space or a line feed.
 WORD_BPE = "word_bpe_49k.json"
 #: Pieces that a task keeps; beyond them the cache starts anew, so memory stays bounded.
-CACHE = 600_000
+CACHE = 400_000
 
 _TAIL = re.compile(r"([^\W_]+)([.,;:!?]+)\Z")
 
