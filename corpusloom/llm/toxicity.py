@@ -39,7 +39,7 @@ SUPPORT, LOG_ODDS = 3, 2.8
 _HOMOGLYPHS = str.maketrans("аеорсухіјѕӏвкмнтԁԛԝɡαοενιρτυχκμßıłøđħ", "aeopcyxijslbkmhtdqwgaoevipruxkmsilodh")
 _SUBSTITUTES = str.maketrans("0134578@$!|l", "oieastbasiii")
 _HIDDEN = re.compile("[­​-‏⁠-⁤﻿]")
-_WORDS = re.compile(r"[^\W_](?:[\w@$!|]*[^\W_])?")
+_WORDS = re.compile(r"(?:[@$!](?=[^\W\d_]))?[^\W_](?:[\w@$!|]*[^\W_])?")
 
 
 def fold(text: str | None) -> str:

@@ -7,6 +7,7 @@ def test_folding():
     assert toxicity.fold(None) == " "
     assert toxicity.fold("1D10T, Ιdіοt!") == toxicity.fold("idiot idiot")
     assert toxicity.fold("ｓｃｕｍ sc​um") == toxicity.fold("scum scum")
+    assert toxicity.fold("$tupid !diot, (m@ron) cl0wn$$$ 100") == toxicity.fold("stupid idiot maron clown 100")
     assert toxicity.fold("l0s3r") == toxicity.fold("LOSER")
 
 
