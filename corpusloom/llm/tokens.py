@@ -15,7 +15,8 @@ WORD_BPE = "word_bpe_49k.json"
 #: Pieces that a task keeps; beyond them the cache starts anew, so memory stays bounded.
 CACHE = 400_000
 
-_TAIL = re.compile(r"([^\W_]+)([.,;:!?]+)\Z")
+#: A word and signs after it.
+_TAIL = re.compile(r"([^\W_]+)([!-/:-@\[-`{-~]+)\Z")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -47,7 +48,7 @@ class _Pieces(dict):
                 spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
                 return struct.pack(f"<{len(found := self.word(spelt))}I", *[t.id for t in found])
         elif (cut := _TAIL.match(piece)) and max(cut[1]) < "\u0250" and len(cut[1].lower()) == len(cut[1]):
-            # letters or digits that stay such when lower-cased, then stops: no token has both
+            # letters or digits that stay such when lower-cased, then signs: no token has both
             return self[cut[1]] + self[cut[2]]
         return struct.pack(f"<{len(found := self.tokenizer.encode(piece, add_special_tokens=False).ids)}I", *found)
 
