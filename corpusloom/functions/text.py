@@ -62,12 +62,15 @@ def literal_replacements(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return text
 
 
-# Punctuation that becomes ASCII.
-SMART_PUNCTUATION = [("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "-"), ("…", "..."), (" ", " ")]
+# What UTF-8 punctuation looks like when it's read as Windows-1252, in the order of replacement,
+# and punctuation that becomes ASCII.
+MISREAD = [("â€œ", '"'), ("â€\x9d", '"'), ("â€˜", "'"), ("â€™", "'"), ("â€“", "-"), ("â€”", "-"), ("â€¦", "..."), ("â€", '"'), ("Â", "")]
+SMART_PUNCTUATION = [("“", '"'), ("”", '"'), ("„", '"'), ("‘", "'"), ("’", "'"), ("‚", "'"), ("–", "-"), ("—", "-"), ("…", "..."), ("\u00a0", " ")]
 
 
 def repaired(text: Column) -> Column:
-    """Text that was UTF-8 but was read as Windows-1252 is read right, then smart punctuation becomes ASCII."""
+    """Text that was UTF-8 but was read as Windows-1252 is read right as a whole, or else piece by piece; then smart
+    punctuation becomes ASCII."""
     import pyarrow as pa
 
     def run(x: pa.Array) -> pa.Array:
@@ -82,7 +85,7 @@ def repaired(text: Column) -> Column:
         return pa.array([fix(v) for v in x.to_pylist()], pa.string())
 
     run.__annotations__ = {"x": pa.Array, "return": pa.Array}
-    return literal_replacements(F.arrow_udf(run, "string")(text), SMART_PUNCTUATION)
+    return literal_replacements(F.arrow_udf(run, "string")(text), MISREAD + SMART_PUNCTUATION)
 
 
 def clean_tokens(tokens: Column) -> Column:
@@ -169,3 +172,21 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 def common_suffix(a: Column, b: Column) -> Column:
     return common_prefix(F.reverse(a), F.reverse(b))
+
+
+def option_spans(options: Column) -> Column:
+    """array<struct<first, last>> for options given as id lists with a common beginning: where each one's own part lies."""
+    start = F.aggregate(F.slice(options, F.lit(2), F.size(options)), F.size(F.element_at(options, 1)), lambda n, o: F.least(n, common_prefix(F.element_at(options, 1), o)))
+    return F.transform(options, lambda o: F.struct(start.alias("first"), F.size(o).alias("last")))
+
+
+def context_spans(contexts: Column) -> Column:
+    """The same for contexts with a common end: where the common part lies in each."""
+    tail = F.aggregate(F.slice(contexts, F.lit(2), F.size(contexts)), F.size(F.element_at(contexts, 1)), lambda n, c: F.least(n, common_suffix(F.element_at(contexts, 1), c)))
+    return F.transform(contexts, lambda c: F.struct((F.size(c) - tail).alias("first"), F.size(c).alias("last")))
+
+
+def cropped(ids: Column, first: Column, last: Column, most: int) -> Column:
+    """The last ``most`` ids, with the span moved along."""
+    gone = F.greatest(F.size(ids) - most, F.lit(0))
+    return F.struct(F.slice(ids, gone + 1, F.lit(most)).alias("ids"), (first - gone).alias("first"), (last - gone).alias("last"))

@@ -186,3 +186,43 @@ def first_best(rows: DataFrame, group: list[str], choice: str, score: str) -> Da
 
 def moving_rate(rows: DataFrame, key: str, order: str, value: str, width: int) -> DataFrame:
     return rows.withColumn("rate", F.avg(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(1 - width, 0)))
+
+
+def flops_per_token(parameters: Column, embedding: Column, layers: Column, heads: Column, head_dim: Column, length: Column) -> Column:
+    """Training arithmetic of a transformer: six for each weight in a product, and attention over the length."""
+    return 6 * (parameters - embedding) + 12 * layers * heads * head_dim * length
+
+
+def cache_bytes(layers: Column, kv_heads: Column, head_dim: Column, length: Column, width: int = 2) -> Column:
+    """Bytes of keys and values of one sequence."""
+    return 2 * layers * kv_heads * head_dim * length * width
+
+
+def training_rates(rows: DataFrame, seconds: str, tokens: str, flops: str, peak_flops: float, step: str, last_step: int) -> DataFrame:
+    """Adds tok_s, the share of the machine's arithmetic, and the seconds left."""
+    rate = F.col(tokens) / F.col(seconds)
+    return rows.withColumn("tok_s", rate).withColumn("mfu", F.col(flops) * rate / peak_flops).withColumn("eta", (F.lit(last_step) - F.col(step)) * F.col(seconds))
+
+
+def ridge(rows: DataFrame, xs: list[str], y: str, strength: float = 0.0) -> dict[str, float]:
+    """Coefficients, intercept and r2 of a least-squares fit with a penalty on the coefficients.
+
+    One pass sums the products; only these sums, as many as pairs of columns, go to the driver.
+    """
+    import numpy as np
+
+    names = [*xs, y]
+    cols = [F.col(c).cast("double") for c in names]
+    n, *sums = rows.dropna(subset=names).agg(F.count("*"), *[F.sum(c) for c in cols], *[F.sum(a * b) for a in cols for b in cols]).first()
+    mean = np.array(sums[: len(cols)], float) / n
+    products = np.array(sums[len(cols) :], float).reshape(len(cols), -1) / n - np.outer(mean, mean)
+    k = len(xs)
+    weights = np.linalg.solve(products[:k, :k] + strength / n * np.eye(k), products[:k, k])
+    left = products[k, k] - 2 * weights @ products[:k, k] + weights @ products[:k, :k] @ weights
+    return {**dict(zip(xs, weights.tolist(), strict=True)), "intercept": float(mean[k] - weights @ mean[:k]), "r2": float(1 - left / products[k, k]) if products[k, k] else 0.0}
+
+
+def gate(rows: DataFrame, score: str, order: str, least: float) -> dict:
+    """The best row by score, the first of equals, and whether it passes."""
+    best = rows.orderBy(F.desc(score), order).first()
+    return {"best": best.asDict() if best else None, "passed": bool(best and best[score] >= least)}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.operators.chains import with_chains
+from corpusloom.operators.chains import chain_steps, next_token_steps, with_chains
 
 
 def normalized(records: DataFrame) -> DataFrame:
@@ -144,3 +144,33 @@ def in_orders(ids: DataFrame, orders: DataFrame) -> DataFrame:
     Names are few and given by the caller; each token meets its own places by an equality join.
     """
     return ids.join(orders, "id").drop("id").withColumnRenamed("place", "id")
+
+
+def mismatched(plan: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Rows of a plan (old_index, token) that the vocabulary (idx, token) doesn't have: none, if both belong together."""
+    return plan.join(vocab.select(F.col("idx").alias("old_index"), "token"), ["old_index", "token"], "left_anti")
+
+
+#: Ways to make steps of an id stream, by name. Callers may add their own.
+CHAIN_MODES = {
+    "token": lambda ids, **_: next_token_steps(ids),
+    "phrase": lambda ids, cap=None, **_: chain_steps(with_chains(ids, reset_on_clause=True, cap=cap)),
+    "cross_phrase": lambda ids, cap=None, **_: chain_steps(with_chains(ids, cap=cap)),
+    "hybrid": lambda ids, cap=None, seed=0, **_: hybrid_steps(ids, split_points(ids, seed), cap),
+}
+
+
+def steps(ids: DataFrame, mode: str, **options) -> DataFrame:
+    if mode not in CHAIN_MODES:
+        raise ValueError(f"no mode {mode}; known: {', '.join(sorted(CHAIN_MODES))}")
+    return CHAIN_MODES[mode](ids, **options)
+
+
+def sweep(ids: DataFrame, recents: list[int], depths: list[int], key: str = "doc_id") -> DataFrame:
+    """The contexts of every place for every pair of settings, tagged with recent and depth."""
+    out = None
+    for x in recents:
+        for d in depths:
+            part = context_steps(ids, x, d, key).withColumn("recent", F.lit(x)).withColumn("depth", F.lit(d))
+            out = part if out is None else out.unionByName(part)
+    return out

@@ -88,6 +88,17 @@ def few_shot(pool: DataFrame, key: str, shots: int, seed: int) -> DataFrame:
     return asked.join(ranked.select(F.col(key).alias("example"), "_r"), "_r").select(key, F.col("shot").cast("long").alias("shot"), "example")
 
 
+def mersenne_shots(rows: DataFrame, ordinal: str, n: int, shots: int, seed: int = 1234) -> DataFrame:
+    """Adds ``shots``: ordinals of others that a Mersenne Twister seeded by seed + ordinal samples from 0 to n - 1."""
+    import pyarrow as pa
+
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([random.Random(seed + i).sample([j for j in range(n) if j != i], shots) for i in x.to_pylist()], pa.list_(pa.int64()))
+
+    run.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return rows.withColumn("shots", F.arrow_udf(run, "array<long>")(F.col(ordinal)))
+
+
 def bootstrap(values: DataFrame, group: str, ordinal: str, value: str, resamples: int, seed: int) -> DataFrame:
     """group, resample, mean_value: each resample draws as many ordinals (0 to n - 1 in the group) as there are, by hash."""
     sizes = values.groupBy(group).agg(F.count("*").alias("_n"))

@@ -50,6 +50,49 @@ def stories(spark: SparkSession, path: str, separator: str = "<|endoftext|>") ->
     return rows.withColumn("inside", inside).join(blocks, ["file", "block"]).select((F.col("before") + F.col("inside")).alias("story_id"), "text")
 
 
+def archive_stories(spark: SparkSession, path: str, column: str = "text", limit: int | None = None) -> DataFrame:
+    """Stories of the CSV files in zip archives: member, story_id (the row's number) and text.
+
+    Empty texts are left out but keep their number; a limit counts rows of a member, empty ones too. An archive
+    is read by one task, row by row.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        import csv
+        import io
+        import zipfile
+
+        csv.field_size_limit(1 << 30)
+        for batch in batches:
+            for content in batch.column(0):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+                    for member in sorted(n for n in archive.namelist() if n.endswith(".csv")):
+                        rows = []
+                        with archive.open(member) as raw:
+                            for i, row in enumerate(csv.DictReader(io.TextIOWrapper(raw, "utf-8", newline=""))):
+                                if limit is not None and i >= limit:
+                                    break
+                                if text := (row.get(column) or "").strip():
+                                    rows.append((member, i, text))
+                                if len(rows) == 1000:
+                                    yield packed(rows)
+                                    rows = []
+                        if rows:
+                            yield packed(rows)
+
+    def packed(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["member", "story_id", "text"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "member string, story_id long, text string")
+
+
+def last_matches(lines: DataFrame, line: str, order: str, patterns: dict[str, str], group: list[str] | None = None) -> DataFrame:
+    """The first group of each pattern's last match in order: what remains of a log."""
+    found = {n: F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for n, p in patterns.items()}
+    return lines.groupBy(*(group or [])).agg(*[F.max_by(c, F.when(c.isNotNull(), F.col(order))).alias(n) for n, c in found.items()])
+
+
 def books(spark: SparkSession, folder: str) -> DataFrame:
     """One row a text file: book_id is the file's stem; bytes that aren't UTF-8 become replacement characters."""
     rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)

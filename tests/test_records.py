@@ -69,3 +69,53 @@ def test_tasks(spark):
     ran = code.select(tasks.executed(tasks.runnable(F.col("p"), F.col("r"), F.col("t"), F.col("e")))).collect()
     assert [r[0] for r in ran] == [True, False]
     assert [r[0] for r in spark.createDataFrame([("while True: pass",)], "c string").select(tasks.executed(F.col("c"), seconds=1.0)).collect()] == [False]
+
+
+def test_spans(spark):
+    from corpusloom.functions import text as tx
+
+    row = spark.createDataFrame([([[1, 2, 3], [1, 2, 4, 5]],)], "o array<array<int>>")
+    found = row.select(tx.option_spans(F.col("o")).alias("a"), tx.context_spans(F.col("o")).alias("b")).first()
+    assert [tuple(x) for x in found.a] == [(2, 3), (2, 4)] and [tuple(x) for x in found.b] == [(3, 3), (4, 4)]
+    crop = spark.createDataFrame([([1, 2, 3, 4, 5], 3, 5)], "i array<int>, a int, b int").select(tx.cropped(F.col("i"), F.col("a"), F.col("b"), 3)).first()[0]
+    assert (crop.ids, crop["first"], crop["last"]) == ([3, 4, 5], 1, 3)
+
+
+def test_modes_and_checks(spark):
+    one = ids(spark, [(0, 1), (0, 3), (1, 2), (1, 4)])
+    assert rec.steps(one, "token").count() == 3 and rec.steps(one, "cross_phrase").count() == 1
+    with pytest.raises(ValueError):
+        rec.steps(one, "none")
+    assert rec.sweep(one, [1, 2], [1]).count() == 6
+    vocab = spark.createDataFrame([("a", 0), ("b", 1)], "token string, idx long")
+    plan = spark.createDataFrame([(0, "a"), (1, "x")], "old_index long, token string")
+    assert [r.token for r in rec.mismatched(plan, vocab).collect()] == ["x"]
+
+
+def test_fits_and_sampling(spark):
+    from corpusloom.operators import evaluation as ev
+    from corpusloom.operators import sampling as sm
+
+    rows = spark.createDataFrame([(float(i), float(i % 3), 2.0 * i - 3.0 * (i % 3) + 1) for i in range(20)], "a double, b double, y double")
+    fit = ev.ridge(rows, ["a", "b"], "y")
+    assert [round(fit[k], 6) for k in ("a", "b", "intercept", "r2")] == [2, -3, 1, 1]
+    assert abs(ev.ridge(rows, ["a", "b"], "y", 100.0)["a"]) < 2
+    import random
+
+    shots = sm.mersenne_shots(spark.range(5).withColumnRenamed("id", "i"), "i", 5, 2).orderBy("i").collect()
+    assert [r.shots for r in shots] == [random.Random(1234 + i).sample([j for j in range(5) if j != i], 2) for i in range(5)]
+    assert ev.gate(spark.createDataFrame([("a", 0.5), ("b", 0.9), ("c", 0.9)], "k string, f double"), "f", "k", 0.8) == {"best": {"k": "b", "f": 0.9}, "passed": True}
+
+
+def test_archives_and_logs(spark, tmp_path):
+    import zipfile
+
+    from corpusloom.sources import tables
+
+    with zipfile.ZipFile(tmp_path / "s.zip", "w") as z:
+        z.writestr("train.csv", 'text\n"one, and\ntwo"\n""\nthree\n')
+    found = tables.archive_stories(spark, str(tmp_path / "s.zip")).orderBy("story_id").collect()
+    assert [(r.story_id, r.text) for r in found] == [(0, "one, and\ntwo"), (2, "three")]
+    assert tables.archive_stories(spark, str(tmp_path / "s.zip"), limit=2).count() == 1
+    log = spark.createDataFrame([(0, "loss: 3.5"), (1, "other"), (2, "loss: 2.5 x"), (3, "end")], "n long, line string")
+    assert tuple(tables.last_matches(log, "line", "n", {"loss": r"loss: ([0-9.]+)", "none": r"zz(z)"}).first()) == ("2.5", None)
