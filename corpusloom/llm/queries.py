@@ -144,3 +144,17 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     found = htmltext.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+ORACLES["op8_line_dedup"] = r"""
+WITH i AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw FROM i WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+m AS (SELECT b.doc_id AS d, b.n, a.doc_id AS ad, a.n AS an, b.nw FROM l a JOIN l b ON a.line = b.line AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.n < b.n))),
+g AS (SELECT *, n - row_number() OVER (PARTITION BY d, ad, n - an ORDER BY n) AS island FROM m),
+r AS (SELECT d, min(n) AS s, max(n) AS e FROM g GROUP BY d, ad, n - an, island HAVING sum(nw) >= 50),
+gone AS (SELECT DISTINCT d AS doc_id, unnest(range(s, e + 1)) AS n FROM r),
+left_over AS (SELECT i.doc_id, string_agg(i.line, chr(10) ORDER BY i.i) FILTER (WHERE gone.n IS NULL) AS t, count(gone.n) AS deleted
+  FROM i LEFT JOIN l USING (doc_id, i) LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.n = l.n GROUP BY i.doc_id)
+SELECT d.doc_id, coalesce(deleted, 0) AS deleted_lines, CASE WHEN d.text IS NOT NULL THEN length(coalesce(t, '')) END AS n_chars, CASE WHEN d.text IS NOT NULL THEN md5(coalesce(t, '')) END AS text_md5
+FROM documents d LEFT JOIN left_over USING (doc_id)
+"""
