@@ -98,10 +98,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        # the sums are written, so that a hub's rows can be split when they are joined
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        down = checkpointed(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())  # v > u >= m
+        least = checkpointed(down.groupBy("u").agg(F.min("v").alias("m")))
         small = down.join(least, "u")
         small = small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         edges = checkpointed(small.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
@@ -120,7 +120,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     each = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(each.select("fp")))
     rooted = each.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(ids, "root").select("fp", "component_id", F.col("root").alias("component"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id", "component")
 
