@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import row_udf
+from corpusloom.llm.common import checkpointed, row_udf
 from corpusloom.llm.tokens import encoder
 
 BLOCK = 64
@@ -36,6 +36,7 @@ def length_histogram(docs: DataFrame, text: str = "text", tokenizer: str | None
 def with_suffix_sums(histogram: DataFrame) -> DataFrame:
     """Adds, for each length n: docs_at_least and tokens_at_least (documents of n tokens or more), docs_at_most,
     and truncated_tokens: what is left in all if every document is cut after n tokens."""
+    histogram = checkpointed(histogram)  # used twice; a row a length
     block = F.floor(F.col("n_tokens") / BLOCK)
     sums = [F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t")]
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
