@@ -345,10 +345,10 @@ def pass_at_k(spark, sf):
     return ev.pass_at_k(tries, "user_id", "attempt", "ok", [1, 2, 4, 8]).withColumn("rate", F.round("rate", 9))
 
 
-@query("advantages", "SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 6) + 0.0 AS advantage FROM events")
+@query("advantages", "SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 9) + 0.0 AS advantage FROM events")
 def advantages(spark, sf):
     rows = ev.advantages(table(spark, sf, "events").select("event_id", "user_id", "value"), "user_id", "value")
-    return rows.select("event_id", (F.round("advantage", 6) + F.lit(0.0)).alias("advantage"))
+    return rows.select("event_id", (F.round("advantage", 9) + F.lit(0.0)).alias("advantage"))
 
 
 @query(
