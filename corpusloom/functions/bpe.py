@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -49,25 +50,53 @@ def learned_merges(counted: dict[bytes, int], merges: int) -> list[Pair]:
         for pair in zip(w, w[1:], strict=False):
             totals[pair] += weights[i]
             where[pair].add(i)
+    # a heap of (weight, pair) with stale entries: the weight is looked up again when an entry comes out
+    heap = [(-n, p) for p, n in totals.items()]
+    heapq.heapify(heap)
     out: list[Pair] = []
-    while len(out) < merges and totals:
-        best = min(totals.items(), key=lambda x: (-x[1], x[0]))
-        if best[1] <= 0:
-            break
-        pair, new = best[0], 256 + len(out)
+    while len(out) < merges and heap:
+        weight, pair = heapq.heappop(heap)
+        if totals.get(pair, 0) != -weight:
+            if totals.get(pair, 0) > 0:
+                heapq.heappush(heap, (-totals[pair], pair))
+            continue
+        new = 256 + len(out)
         out.append(pair)
-        for i in where.pop(pair):
-            old = words[i]
-            for p in zip(old, old[1:], strict=False):
-                totals[p] -= weights[i]
-                if totals[p] <= 0:
-                    del totals[p]
-                if p != pair:
-                    where[p].discard(i)
-            words[i] = fresh = merged(old, pair, new)
-            for p in zip(fresh, fresh[1:], strict=False):
-                totals[p] += weights[i]
-                where[p].add(i)
+        changed: set[Pair] = set()
+        for i in where.pop(pair):  # words that had the pair; some may have lost it since
+            words[i] = _merge_in(words[i], pair, new, weights[i], totals, changed)
+            for p in zip(words[i], words[i][1:], strict=False):
+                if new in p:
+                    where[p].add(i)
+        for p in changed:
+            if totals[p] > 0:
+                heapq.heappush(heap, (-totals[p], p))
+            else:
+                totals.pop(p, None)
+        totals.pop(pair, None)
+    return out
+
+
+def _merge_in(word: list[int], pair: Pair, new: int, weight: int, totals: Counter[Pair], changed: set[Pair]) -> list[int]:
+    """The word with the pair merged; pairs around each merge change their totals."""
+    first, second = pair
+    out: list[int] = []
+    i, n = 0, len(word)
+    while i < n:
+        if word[i] == first and i + 1 < n and word[i + 1] == second:
+            totals[pair] -= weight
+            moved = [((out[-1], first), (out[-1], new))] if out else []
+            if i + 2 < n:
+                moved.append(((second, word[i + 2]), (new, word[i + 2])))
+            for old, fresh in moved:
+                totals[old] -= weight
+                totals[fresh] += weight
+                changed.update((old, fresh))
+            out.append(new)
+            i += 2
+        else:
+            out.append(word[i])
+            i += 1
     return out
 
 

@@ -13,13 +13,13 @@ from corpusloom.operators import vocabulary as vo
 from corpusloom.plans import sql
 from corpusloom.plans.catalog import query
 from corpusloom.sources.shared import written
-from corpusloom.sources.tables import missing, table, with_shards
+from corpusloom.sources.tables import missing, spread, table, with_shards
 
 MIN = sql.MIN_COUNT
 
 
 def stream(spark: SparkSession, sf: str) -> DataFrame:
-    return vo.clause_stream(table(spark, sf, "documents"))
+    return vo.clause_stream(spread(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 def vocab(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,7 +43,7 @@ def clause_stream(spark, sf):
 @query("clause_spans", sql.with_(sql.STREAM, "SELECT doc_id, clause, count(*) AS n_tokens, string_agg(tok, ' ' ORDER BY pos) AS span_text FROM s GROUP BY doc_id, clause"))
 def clause_spans(spark, sf):
     tokens = tx.clause_tokens(F.col("text"))
-    rows = table(spark, sf, "documents").select("doc_id", F.explode(tokens).alias("t"))
+    rows = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode(tokens).alias("t"))
     spans = rows.groupBy("doc_id", F.col("t.clause").cast("long").alias("clause")).agg(F.count("*").alias("n_tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t.cpos", "t.tok"))), lambda x: x["tok"]), " ").alias("span_text"))
     return spans
 
@@ -104,7 +104,7 @@ def vocab_topk_remap(spark, sf):
     sql.with_(sql.STREAM, "SELECT tok, count(*) AS cnt, count(DISTINCT lang) AS n_domains FROM s JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY tok"),
 )
 def union_census_by_lang(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents").select("lang", "text"))
     rows = docs.select("lang", F.explode(tx.clause_tokens(F.col("text"))).alias("t")).select("lang", "t.tok")
     return vo.union_census(rows, "lang")
 

@@ -15,7 +15,7 @@ from corpusloom.operators import evaluation as ev
 from corpusloom.operators import packing as pk
 from corpusloom.operators import sampling as sm
 from corpusloom.plans.catalog import query
-from corpusloom.sources.tables import strided, table
+from corpusloom.sources.tables import spread, strided, table
 
 # ---------------------------------------------------------------- splits, samples, tasks
 
@@ -137,7 +137,7 @@ def minified_filter(spark, sf):
 
 @query("code_tokens")
 def code_tokens(spark, sf):
-    rows = table(spark, sf, "pages").select("page_id", F.posexplode(code.code_tokens(F.col("html"))).alias("pos", "t"))
+    rows = spread(table(spark, sf, "pages").select("page_id", "html")).select("page_id", F.posexplode(code.code_tokens(F.col("html"))).alias("pos", "t"))
     return rows.select("page_id", F.col("pos").cast("long").alias("pos"), "t.clause", "t.tok")
 
 
@@ -154,17 +154,17 @@ def doc_cap_prefix(spark, sf):
 
 @query("bpe_pieces")
 def bpe_pieces(spark, sf):
-    return bpe.piece_counts(table(spark, sf, "documents"))
+    return bpe.piece_counts(spread(table(spark, sf, "documents").select("text")))
 
 
 def _bpe(spark, sf):
-    return bpe.train(bpe.training_texts(table(spark, sf, "documents"), "doc_id", "text", 10_000, 2_000_000), 1024, "kept")
+    return bpe.train(spread(bpe.training_texts(table(spark, sf, "documents"), "doc_id", "text", 10_000, 2_000_000)), 1024, "kept")
 
 
 @query("bpe_encode_len")
 def bpe_encode_len(spark, sf):
     encoded = bpe.encoded(bpe.pieces(F.col("text")), _bpe(spark, sf))
-    return table(spark, sf, "documents").select("doc_id", F.size(encoded).cast("long").alias("n_tokens"), F.octet_length("text").cast("long").alias("n_bytes"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.size(encoded).cast("long").alias("n_tokens"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
 @query("bpe_vocabulary")
@@ -175,13 +175,13 @@ def bpe_vocabulary(spark, sf):
 @query("bpe_round_trip", "SELECT count(*) AS n, count(*) AS same FROM documents WHERE text IS NOT NULL")
 def bpe_round_trip(spark, sf):
     model = _bpe(spark, sf)
-    rows = table(spark, sf, "documents").where("text is not null").select("text", bpe.decoded(bpe.encoded(bpe.pieces(F.col("text")), model), model).alias("back"))
+    rows = spread(table(spark, sf, "documents").select("text").where("text is not null")).select("text", bpe.decoded(bpe.encoded(bpe.pieces(F.col("text")), model), model).alias("back"))
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("text") == F.col("back")).alias("same"))
 
 
 @query("compression_ratio")
 def compression_ratio(spark, sf):
-    rows = table(spark, sf, "documents").select("lang", "text", F.size(bpe.encoded(bpe.pieces(F.col("text")), _bpe(spark, sf))).alias("n"))
+    rows = spread(table(spark, sf, "documents").select("lang", "text")).select("lang", "text", F.size(bpe.encoded(bpe.pieces(F.col("text")), _bpe(spark, sf))).alias("n"))
     return bpe.compression(rows, ["lang"], "text", "n").withColumn("ratio", F.round("ratio", 6))
 
 

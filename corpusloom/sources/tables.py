@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores, where a small input came in fewer partitions than there are cores; else as they are.
+
+    Only inputs of a few files or row groups are moved: what a cluster reads in earnest has more partitions.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def parquet_files(spark: SparkSession, folder: str) -> DataFrame:
     """The folder's parquet files in name order: file and ordinal. Unfinished ``.tmp`` files are left out."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
