@@ -172,8 +172,8 @@ def train(good: list[list[list[int]]], poor: list[list[list[int]]], length: int
         pairs = np.exp(forward[:, :-1, :, None] + field.steps + (scores + backward)[:, 1:, None, :] - total[:, None, None, None])
         off = one_hot - share
         grads = [np.zeros_like(field.weights), np.einsum("sti,stj->ij", one_hot[:, :-1], one_hot[:, 1:]) - pairs.sum(axis=(0, 1)), off[:, 0].sum(axis=0)]
-        for g in range(len(GROUPS)):
-            np.add.at(grads[0], x[:, :, g].ravel(), off.reshape(-1, 2))
+        for label in (0, 1):
+            grads[0][:, label] = np.bincount(x.ravel(), np.repeat(off[..., label].ravel(), len(GROUPS)), OFFSETS[-1])
         for p, g, m in zip(parts, grads, moments, strict=True):
             g = g / sequences - ridge * p
             m[0][:] = 0.9 * m[0] + 0.1 * g

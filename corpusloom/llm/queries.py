@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, htmltext, licenses, linededup, packing, quality, simhash, tokencounts, toxicity, warc
 from corpusloom.llm.common import new_path, table
+from corpusloom.sources.tables import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -23,7 +24,7 @@ def query(function):
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and verdict of every document; the lexicon is learned from labels outside the held-out fold."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     lexicon = toxicity.learned_from(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), toxicity.toxicity(lexicon, F.col("text")).alias("t"))
     return scored.select("doc_id", "held_out", "t.score", (F.col("t.score") >= 0.5).cast("int").alias("predicted"), F.array_join("t.terms", " ").alias("matched"))
@@ -32,7 +33,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside benchmark windows, and the items that the windows belong to."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     marked = decontaminate.with_contamination(docs, table(spark, sf_dir, "benchmark"), "c")
     return marked.select(
         "doc_id",
@@ -63,33 +64,33 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of at most 4096 ids."""
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 @query
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    found = simhash.grouped(table(spark, sf_dir, "documents"))
+    found = simhash.grouped(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the lines of later copies of repeated runs."""
-    left = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    left = linededup.dedup_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return left.select("doc_id", "deleted_lines", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The length histogram of all documents with its suffix sums."""
-    return tokencounts.with_suffix_sums(tokencounts.length_histogram(table(spark, sf_dir, "documents")))
+    return tokencounts.with_suffix_sums(tokencounts.length_histogram(spread(table(spark, sf_dir, "documents").select("text"))))
 
 
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document; the field is trained on a bounded sample of labelled ones."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     field = quality.trained(docs, table(spark, sf_dir, "labels"))
     judged = docs.select("doc_id", quality.quality(field, F.col("text")).alias("q"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words", "n_lines", "content_lines")
@@ -115,7 +116,7 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as its record came back from archives written to the shared folder."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"))
     path = new_path(spark, "warc")
     warc.write_pages(pages, path)
     records = warc.read_records(spark, path)
@@ -142,7 +143,7 @@ FROM p LEFT JOIN m USING (d)
 @query
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    found = htmltext.extract(table(spark, sf_dir, "pages"))
+    found = htmltext.extract(spread(table(spark, sf_dir, "pages")))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
