@@ -25,7 +25,7 @@ from corpusloom.llm.common import labelled_sample, row_udf
 #: lines at most. These are the only bounds.
 SAMPLE, SAMPLE_LINES = 1500, 400
 #: Words in content lines that a kept document has at least, as a share of its words.
-CONTENT_SHARE = 0.5
+CONTENT_SHARE = 0.3
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\v\f\r"

@@ -89,7 +89,7 @@ class Lexicon:
                 if exceptions and not exceptions.isdisjoint(_pairs(folded, start, word)):
                     continue
                 hits[start] = (word, w)
-            mass = sum(w for _, w in hits.values())
+            mass = sum(w for _, w in set(hits.values()))  # a word that is repeated counts once
             x = mass / max(1, folded.count(" ") - 1) ** self.power if hits else 0.0
             return list(hits.values()), 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * x + self.intercept))))
 
@@ -108,7 +108,7 @@ def _fit(rows: list[tuple[float, int, int]]) -> tuple[float, float, float]:
     """Power, slope and intercept of highest likelihood; rows: mass, words, label."""
     best = None
     weight = [len(rows) / 2 / max(1, sum(r[2] == k for r in rows)) for k in (0, 1)]  # both classes weigh the same
-    for power in (0.0, 0.25, 0.5, 1.0):
+    for power in (0.125, 0.25, 0.5, 1.0):
         points = Counter((round(m / max(1, n) ** power, 3), y) for m, n, y in rows)
         scale = max([x for x, _ in points], default=1.0) or 1.0
         a = b = 0.0
@@ -138,7 +138,7 @@ def _fit(rows: list[tuple[float, int, int]]) -> tuple[float, float, float]:
 
 def learn(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Lexicon:
     """A lexicon from a bounded sample of rows with a text and a label 0 or 1, which is written to the shared folder."""
-    rows = checkpointed(labelled.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y")))
+    rows = checkpointed(labelled.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y")).distinct())  # a copied text counts once
     toxic, clean = rows.where("y = 1"), rows.where("y = 0")
     parts = 6
 
@@ -172,6 +172,16 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Lexi
         shorter = max((terms[s[:n]] for n in range(SHORTEST, len(s)) if s[:n] in terms), default=0.0)
         if odds[s] > shorter + 1.0:  # a longer beginning only where it says clearly more
             terms[s] = odds[s]
+    longer: dict[str, list[str]] = {}
+    for s in often:
+        longer.setdefault(s[:-1], []).append(s)
+    for s in list(terms):  # as long as nearly all of its documents have the next letter too, it belongs to the term
+        t = s
+        while nxt := max((x for x in longer.get(t, ()) if often[x] >= 0.98 * often[s]), key=lambda x: (often[x], x), default=None):
+            t = nxt
+        if t != s:
+            del terms[s]
+            terms[t] = odds[t]
     terms = dict(sorted(terms.items(), key=lambda x: (-x[1], x[0]))[:MOST_TERMS])
 
     plain = Lexicon(terms)
@@ -199,7 +209,7 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Lexi
 
     def masses():
         match = unfitted.matcher()
-        return lambda t: {"m": float(sum(w for _, w in match(t)[0])), "n": max(0, fold(t).count(" ") - 1)}
+        return lambda t: {"m": float(sum(w for _, w in set(match(t)[0]))), "n": max(0, fold(t).count(" ") - 1)}
 
     measured = row_udf(masses, T.StructType([T.StructField("m", T.DoubleType()), T.StructField("n", T.LongType())]))
     both = toxic.unionByName(clean).repartition(parts).select(measured(F.col("t")).alias("x"), "y").select("x.m", "x.n", "y")
