@@ -36,6 +36,7 @@ MARKS = frozenset(
     "footer cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social comment comments reply replies disqus "
     "related recommended widget copyright masthead toolbar pagination pager search skip complementary contentinfo".split()
 )
+MARK_BEGINNINGS = ("comment", "advert", "sidebar", "cookie", "newsletter", "sponsor", "breadcrumb", "navbar")
 CONTENT, TEMPLATE, OPEN = "c", "t", "o"
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -52,7 +53,7 @@ def _role(name: str, attributes: str, in_article: bool) -> str | None:
         words = set()
         for m in _MARK.finditer(attributes):
             words.update(_PARTS.split((m[2] or m[3] or m[4] or "").lower()))
-        if not MARKS.isdisjoint(words) or ("header" in words and not in_article) or _HIDDEN.search(attributes):
+        if not MARKS.isdisjoint(words) or any(w.startswith(MARK_BEGINNINGS) for w in words) or ("header" in words and not in_article) or _HIDDEN.search(attributes):
             return TEMPLATE
         if "main" in words and "role" in attributes.lower() and name not in ARTICLE:
             return CONTENT

@@ -35,6 +35,7 @@ def test_markup():
     <aside>Side</aside><footer>&copy; me</footer></body></html>"""
     assert text(page) == "Head & line\nOne two three inline\nNext a < b © 1 < 2\nx\ny"
     assert text("<div class=cookie-notice>We use</div><main><p>kept &am</p><p>cut <a hre") == "kept &am\ncut"
+    assert text('<article><p>a</p><ol class="commentlist"><li>no</li></ol><div class="advertisement-box">no</div><p class="lead">b</p></article>') == "a\nb"
     assert text("<p hidden>no</p><p>yes</p><div style='display: none'>no</div>") == "yes"
 
 
