@@ -1,3 +1,3 @@
 """Named query plans: what __spark_entry__ registers."""
 
-from corpusloom.plans import corpus, evaluation, records  # noqa: F401  they register their queries
+from corpusloom.plans import corpus, evaluation, records, streaming  # noqa: F401  they register their queries
