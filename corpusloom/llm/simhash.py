@@ -125,9 +125,12 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return marked.join(named, "fp").select("doc_id", "fp", "component_id", "component")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest id; of a component of null ids, one row."""
-    found = checkpointed(grouped(docs, doc_id, text))
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", grouping=grouped, mark=fingerprint) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id; of a component of null ids, one row.
+
+    ``grouping`` gives what ``grouped`` does, ``mark`` the fp that it gives a text.
+    """
+    found = checkpointed(grouping(docs, doc_id, text))
     rows = found.groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "id")
     kept = found.where("doc_id <=> component_id").groupBy("doc_id", "component").agg(F.min("fp").alias("fp"))
     keep_id, keep_fp, turn = (free_name(docs, x) for x in ("keep_id", "keep_fp", "turn"))
@@ -139,6 +142,6 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         return once
     # where an id repeats, the fingerprint says which of its rows stays
     own_fp = free_name(docs, "own_fp")
-    again = docs.withColumn(own_fp, fingerprint(F.col(text))).join(several, own_id & (F.col(own_fp) == F.col(keep_fp)))
+    again = docs.withColumn(own_fp, mark(F.col(text))).join(several, own_id & (F.col(own_fp) == F.col(keep_fp)))
     first = F.row_number().over(Window.partitionBy(keep_id, keep_fp).orderBy(F.xxhash64(text), text))
     return once.unionByName(again.withColumn(turn, first).where(F.col(turn) == 1).select(docs.columns))
