@@ -157,8 +157,12 @@ def bpe_pieces(spark, sf):
     return bpe.piece_counts(spread(table(spark, sf, "documents").select("text")))
 
 
+#: Characters of a document and of all that the vocabulary is learned from, and its size: the reference's defaults.
+DOC_CAP, MAX_CHARS, VOCAB_SIZE = 10_000, 2_000_000_000, 32_768
+
+
 def _bpe(spark, sf):
-    return bpe.train(spread(bpe.training_texts(table(spark, sf, "documents"), "doc_id", "text", 10_000, 2_000_000)), 1024, "kept")
+    return bpe.train(spread(bpe.training_texts(table(spark, sf, "documents"), "doc_id", "text", DOC_CAP, MAX_CHARS)), VOCAB_SIZE, "kept")
 
 
 @query("bpe_encode_len")
@@ -237,7 +241,7 @@ def conversation_validation(spark, sf):
 
 @query("loss_mask")
 def loss_mask(spark, sf):
-    """Ids and learned ids of each valid conversation under a small vocabulary."""
+    """Ids and learned ids of each valid conversation under the vocabulary learned from the documents."""
     convs = chat.conversations(table(spark, sf, "conversations")).where(chat.is_valid(F.col("messages")))
     parts = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), m["text"].alias("text"))).alias("parts")))
     rows = convs.select("conv_id", chat.conversation_ids(parts, _bpe(spark, sf)).alias("r"))
