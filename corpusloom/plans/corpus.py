@@ -340,10 +340,7 @@ def repackaged_shards(spark, sf):
 
 @query("order_optimizer")
 def order_optimizer(spark, sf):
-    """token_id, new_pos: an order of the 300 most frequent tokens in which at least as much weight ascends as before."""
-    rows = ids(spark, sf)
-    top = rows.groupBy("id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(300).select("id")
-    weights = pairs(spark, sf).join(top.select(F.col("id").alias("u")), "u").join(top.select(F.col("id").alias("v")), "v")
-    start = sorted(r.id for r in top.collect())
-    order, _, _ = ordering.optimized(weights, start)
+    """token_id, new_pos: an order of all tokens of the lookup in which at least as much weight ascends as before."""
+    start = sorted(r.id for r in vo.lookup(vocab(spark, sf), MIN).select("id").collect())  # of vocabulary size
+    order, _, _ = ordering.optimized(pairs(spark, sf), start)
     return spark.createDataFrame([(t, i) for i, t in enumerate(order)], "token_id long, new_pos long")
