@@ -2,7 +2,8 @@
 
 A page becomes text lines, one for each block, with white space folded and character references decoded.
 Pages are sorted by host and URL path over all machines; each is paired with its nearest neighbour of the
-same host that isn't a copy of it. The two line lists are aligned by their longest common subsequence, and
+same host that isn't a copy of it: the page before it and its copies, or where there is none the page after them. The ends of each range of pages are known to the ranges next
+to it, so how the pages are dealt out doesn't matter. The two line lists are aligned by their longest common subsequence, and
 lines that both pages share are template: they are deleted.
 
 Two things differencing alone gets wrong are decided by markup. Lines inside the article (``article``,
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.common import checkpointed
+
 # HTML elements by role, and words of class, id and role attributes that mark what isn't main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
@@ -195,6 +198,8 @@ def main_text(lines: list[tuple[str, str]], neighbour: list[tuple[str, str]] | N
     return "\n".join(x for (z, x), both in zip(lines, common, strict=True) if z == CONTENT or (z == OPEN and not both))
 
 
+_RUNS = pa.list_(pa.struct([("path", pa.string()), ("lines", pa.binary())]))
+_ENDS = pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("head", _RUNS), ("tail", _RUNS)])
 _URL = re.compile(r"(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)([^?#]*)")
 
 
@@ -207,12 +212,34 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return host.removeprefix("www.").removeprefix("m."), m[2].rstrip("/")
 
 
+def beyond(ends: list) -> dict[int, tuple]:
+    """By partition, the nearest run before its first and after its last, as (path, lines), in other partitions.
+
+    ends: (part, first host, last host, first two runs of the first host, last two runs of the last host, from
+    the edge inwards) of each partition that has rows, in order. A run is the pages in a row with the same lines.
+    """
+    out = {}
+    for i, (part, first, last, head, tail) in enumerate(ends):
+        found: list[tuple | None] = [None, None]
+        for side, host, own, others in ((0, first, head[0][1], ends[:i][::-1]), (1, last, tail[0][1], ends[i + 1 :])):
+            for _, its_first, its_last, its_head, its_tail in others:
+                near, far, runs = (its_last, its_first, its_tail) if side == 0 else (its_first, its_last, its_head)
+                if near != host:
+                    break
+                found[side] = next((tuple(r) for r in runs if r[1] != own), None)
+                if found[side] or far != host:
+                    break
+        out[part] = tuple(found)
+    return out
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url and text of every page.
 
     Lines travel compressed, and pages are dealt out by ranges of host and path, so a host of any size is
-    spread over tasks. A task walks its pages in order and holds two of them; of pages that wait for their
-    first neighbour it holds the key and the lines, which are one list while they are copies.
+    spread over tasks. The sorted pages are written to the shared folder and read twice: for the two runs at each
+    end of a partition, of which one a side goes to its neighbours, and for differencing. A task walks its pages
+    in order and holds three line lists, and of the pages of a run the keys and paths.
     """
     kind = pages.schema[page_id].dataType
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
@@ -226,15 +253,32 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             lines = [zlib.compress(json.dumps(lines_of(h.as_py()), ensure_ascii=False).encode("utf-8", "replace"), 3) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p[0] for p in places], pa.string()), pa.array([p[1] for p in places], pa.string()), pa.array(lines, pa.binary())], names=described.names)
 
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = first = host = None
+        head, tail = [], []  # runs of the first host; runs of the present host, the last one first
+        for batch in batches:
+            for at, path, blob, own in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                if host is None:
+                    part, first = own, at
+                if at != host:
+                    host, tail = at, []
+                if tail and tail[0]["lines"] == blob:
+                    tail[0] = {"path": path, "lines": blob}
+                else:
+                    tail = [{"path": path, "lines": blob}, *tail[:1]]
+                    if at == first and len(head) < 2:
+                        head.append(tail[0])
+        if host is not None:
+            yield pa.RecordBatch.from_pylist([{"part": part, "first": first, "last": host, "head": head, "tail": tail}], schema=_ENDS)
+
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = None
         out, size = [], 0
-        host, last, older, waiting = None, None, None, []  # last: lines of the page before; older: of the one before its copies
+        host, before, after = None, None, None  # before: path and lines of the run before this one
+        run, lines, waiting = None, [], []  # this run: its lines, packed and unpacked, and its pages
 
-        def done(key: tuple, lines: list, neighbour: list | None) -> None:
-            nonlocal size
-            out.append((*key, text := main_text(lines, neighbour)))
-            size += len(text)
+        def unpacked(blob: bytes) -> list:
+            return [tuple(x) for x in json.loads(zlib.decompress(blob))]
 
         def packed() -> pa.RecordBatch:
             nonlocal out, size
@@ -242,30 +286,41 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             out, size = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], names=result.names)
 
-        for batch in batches:
-            arrow = [batch.schema.field(0).type, pa.string(), pa.string()]
-            ids, urls, hosts = (batch.column(i).to_pylist() for i in (0, 1, 2))
-            for own, link, at, blob in zip(ids, urls, hosts, batch.column(4), strict=True):
-                lines = [tuple(x) for x in json.loads(zlib.decompress(blob.as_py()))]
-                if at != host:
-                    for key in waiting:
-                        done(key, last, None)
-                    host, last, older, waiting = at, None, None, []
-                if last is not None and lines != last:
-                    for key in waiting:
-                        done(key, last, lines)
-                    waiting, older = [], last
-                last = lines
-                if older is None:
-                    waiting.append((own, link))
-                else:
-                    done((own, link), lines, older)
+        def done(following: tuple | None) -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            texts: dict = {}
+            for key, link, path in waiting:
+                late = following is not None and before is None
+                if late not in texts:
+                    chosen = following if late else before
+                    texts[late] = main_text(lines, chosen and chosen[1])
+                out.append((key, link, texts[late]))
+                size += len(texts[late])
                 if len(out) >= 2000 or size > 4 << 20:
                     yield packed()
-        for key in waiting:
-            done(key, last, None)
+
+        for batch in batches:
+            arrow = [batch.schema.field(0).type, pa.string(), pa.string()]
+            ids, urls, hosts, paths, parts = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5))
+            for own, link, at, path, cell, part in zip(ids, urls, hosts, paths, batch.column(4), parts, strict=True):
+                blob = cell.as_py()
+                if host is None:
+                    before, after = ((x[0], unpacked(x[1])) if x else None for x in edges.value[part])
+                    host, run, lines = at, blob, unpacked(blob)
+                elif at != host:
+                    yield from done(None)
+                    host, before, run, lines, waiting = at, None, blob, unpacked(blob), []
+                elif blob != run:
+                    fresh = unpacked(blob)
+                    yield from done((path, fresh))
+                    before, run, lines, waiting = (waiting[-1][2], lines), blob, fresh, []
+                waiting.append((own, link, path))
+        yield from done(after)
         if out:
             yield packed()
 
     placed = rows.mapInArrow(describe, described).repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    placed = checkpointed(placed).withColumn("part", F.spark_partition_id())
+    found = placed.mapInArrow(ends, "part int, first string, last string, head array<struct<path:string,lines:binary>>, tail array<struct<path:string,lines:binary>>").collect()
+    edges = pages.sparkSession.sparkContext.broadcast(beyond(sorted(((r.part, r["first"], r["last"], [(x.path, bytes(x.lines)) for x in r.head], [(x.path, bytes(x.lines)) for x in r.tail]) for r in found), key=lambda r: r[0])))
     return placed.mapInArrow(difference, result)

@@ -64,3 +64,36 @@ def test_rows(spark):
         assert (by_id[101], by_id[102], by_id[103], by_id[None]) == ("alone", "", "", "null id")
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert htmltext.extract(df.limit(0)).count() == 0
+
+
+def in_parts(spark, parts, rows):
+    """Texts by page id, with the pages dealt out to so many partitions that nothing joins."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        return {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+PAGE = "<div>Site menu</div><p>{}</p><div>Bottom</div>"
+
+
+def test_copies_over_several_partitions(spark):
+    """A host's copies fill whole partitions: their neighbours lie in others."""
+    rows = [(i, f"http://h.example/b/{i:04}", PAGE.format("same")) for i in range(400)]
+    for extra in ([(1000, "http://h.example/a", PAGE.format("first"))], [(1001, "http://h.example/c", PAGE.format("last"))]):
+        others = [(2000 + i, f"http://g{i}.example/x", PAGE.format("alone")) for i in range(3)]
+        found = in_parts(spark, 9, rows + extra + others)
+        assert {found[i] for i in range(400)} == {"same"}
+        assert found[extra[0][0]] in ("first", "last")
+        assert {found[2000 + i] for i in range(3)} == {"Site menu\nalone\nBottom"}
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    rng = random.Random(4)
+    rows = [(i, f"http://h{rng.randrange(3)}.example/{rng.choice('abc')}/{i:03}", PAGE.format(f"text {rng.randrange(6)}")) for i in range(60)]
+    whole = in_parts(spark, 1, rows)
+    assert all(in_parts(spark, n, rows) == whole for n in (2, 7, 40))
