@@ -2,7 +2,8 @@
 
 A page becomes text lines, one for each block, with white space folded and character references decoded.
 Pages are sorted by host and URL path over all machines; each is paired with its nearest neighbour of the
-same host that isn't a copy of it: the page before it and its copies, or where there is none the page after them. The ends of each range of pages are known to the ranges next
+same host that isn't a copy of it: the page before or after it (and its copies) with which its path shares more
+leading segments, the one before if they are equal. The ends of each range of pages are known to the ranges next
 to it, so how the pages are dealt out doesn't matter. The two line lists are aligned by their longest common subsequence, and
 lines that both pages share are template: they are deleted.
 
@@ -212,6 +213,16 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return host.removeprefix("www.").removeprefix("m."), m[2].rstrip("/")
 
 
+def common_segments(a: str, b: str) -> int:
+    """How many leading segments two paths share."""
+    n = 0
+    for x, y in zip(a.split("/"), b.split("/")):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
 def beyond(ends: list) -> dict[int, tuple]:
     """By partition, the nearest run before its first and after its last, as (path, lines), in other partitions.
 
@@ -290,7 +301,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             nonlocal size
             texts: dict = {}
             for key, link, path in waiting:
-                late = following is not None and before is None
+                late = following is not None and (before is None or common_segments(path, following[0]) > common_segments(path, before[0]))
                 if late not in texts:
                     chosen = following if late else before
                     texts[late] = main_text(lines, chosen and chosen[1])

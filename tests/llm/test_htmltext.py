@@ -97,3 +97,12 @@ def test_results_do_not_depend_on_partitions(spark):
     rows = [(i, f"http://h{rng.randrange(3)}.example/{rng.choice('abc')}/{i:03}", PAGE.format(f"text {rng.randrange(6)}")) for i in range(60)]
     whole = in_parts(spark, 1, rows)
     assert all(in_parts(spark, n, rows) == whole for n in (2, 7, 40))
+
+
+def test_neighbour_with_the_longer_common_path(spark):
+    """The first page of a section is compared with the section's next page, not with another section's last."""
+    page = "<div>Site</div><div>{} notice</div><p>{}</p>"
+    rows = [(i, f"http://h.example/{s}/{i}", page.format(s, f"text {i}")) for s, ids in (("en", (1, 2, 3)), ("fr", (4, 5, 6))) for i in ids]
+    for parts in (1, 6):
+        assert in_parts(spark, parts, rows) == {i: f"text {i}" for i in range(1, 7)}
+    assert htmltext.common_segments("/fr/1", "/fr/2") == 2 and htmltext.common_segments("/fr/1", "/free/1") == 1
