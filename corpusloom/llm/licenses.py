@@ -1,6 +1,9 @@
 """License scans: a trained paragraph classifier, run with DataFrame functions alone.
 
-A paragraph is a line. One that has a cue word is described by the set of its words and word pairs; a
+A paragraph is a line, or a run of lines: a notice may be wrapped, so from each line the following ones are joined
+until they hold as many words as the longest template, up to a line without words. Such a run counts where it
+confirms a family that none of its lines confirms; of runs of one family that overlap, the one with the largest
+share of a template, the later among equals. One that has a cue word is described by the set of its words and word pairs; a
 multinomial logistic regression over these sparse features gives the probability of each licence family and
 of ``unknown``. Temperature and threshold are calibrated on perturbed templates that training hasn't seen. A
 prediction is confirmed by template comparison: so large a share of some template of the family has to be in
@@ -107,6 +110,12 @@ def grams(paragraph: str) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
 
 
+def longest_template() -> int:
+    import regex
+
+    return max(len(regex.findall(WORD, t.lower())) for ts in TEMPLATES.values() for t in ts)
+
+
 def _perturbed(text: str, rng: random.Random) -> str:
     words = [w for w in text.split() if rng.random() > 0.12] or text.split()
     before = rng.sample(["copyright", "2021", "acme", "notice", "code", "and", "content"], rng.randrange(3))
@@ -173,7 +182,7 @@ def _literal(value, kind: str) -> Column:
 
 
 def license_paragraphs(text: Column, model: Classifier) -> Column:
-    """An array with a struct for each paragraph that has a cue word: n (its line), family, probability, overlap, confirmed.
+    """An array with a struct for each paragraph that has a cue word: n (its line, a run's first), family, probability, overlap, confirmed.
 
     The family is ``unknown`` where the classifier says so or its probability is below the threshold.
     """
@@ -200,12 +209,43 @@ def license_paragraphs(text: Column, model: Classifier) -> Column:
         named = F.when(x["best"]["p"] >= model.threshold, x["best"]["family"]).otherwise(F.lit(UNKNOWN))
         shares = F.transform(F.try_element_at(templates, named), lambda t: F.size(F.array_intersect(t, x["grams"])) / F.size(t))
         overlap = F.coalesce(F.array_max(shares), F.lit(0.0))
-        return F.struct(x["n"].alias("n"), named.alias("family"), F.round(x["best"]["p"], 4).alias("probability"), F.round(overlap, 4).alias("overlap"), (overlap >= OVERLAP).alias("confirmed"))
-
-    lines = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), lambda x, i: F.struct(i.alias("n"), x.alias("line")))
-    cued = F.filter(lines, lambda x: x["line"].rlike(CUES))
-    worded = F.transform(cued, lambda x: F.struct(x["n"].alias("n"), own_grams(F.regexp_extract_all(x["line"], F.lit(WORD), F.lit(0))).alias("grams")))
-    scored = F.transform(worded, lambda x: F.struct(x["n"].alias("n"), x["grams"].alias("grams"), logits(x["grams"]).alias("x")))
-    chosen = F.transform(scored, lambda x: F.struct(x["n"].alias("n"), x["grams"].alias("grams"), chances(x["x"]).alias("e")))
-    named = F.transform(chosen, lambda x: F.struct(x["n"].alias("n"), x["grams"].alias("grams"), best(x["e"]).alias("best")))
-    return F.when(F.lower(text).rlike(CUES), F.transform(named, compared)).otherwise(F.array().cast("array<struct<n:int,family:string,probability:double,overlap:double,confirmed:boolean>>"))
+        return F.struct(x["n"].alias("n"), x["last"].alias("last"), named.alias("family"), F.round(x["best"]["p"], 4).alias("probability"), F.round(overlap, 4).alias("overlap"), (overlap >= OVERLAP).alias("confirmed"))
+
+    longest = longest_template()
+    lines = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), lambda x, i: F.struct(i.alias("n"), i.alias("last"), x.alias("line")))
+    counted = F.transform(lines, lambda x: F.struct(x["n"].alias("n"), x["line"].alias("line"), F.size(F.regexp_extract_all(x["line"], F.lit(WORD), F.lit(0))).alias("words")))
+
+    def run(all_lines: Column, first: Column) -> Column:
+        """The line with those after it, until these have a word less than the longest template."""
+        begun = F.struct(first["n"].alias("last"), first["line"].alias("line"), F.lit(0).alias("more"), (first["words"] > 0).alias("open"))
+
+        def longer(a: Column, x: Column) -> Column:
+            on = a["open"] & (x["words"] > 0)
+            more = a["more"] + F.when(on, x["words"]).otherwise(0)
+            return F.struct(F.when(on, x["n"]).otherwise(a["last"]).alias("last"), F.when(on, F.concat_ws(" ", a["line"], x["line"])).otherwise(a["line"]).alias("line"), more.alias("more"), (on & (more < longest - 1)).alias("open"))
+
+        return F.aggregate(F.slice(all_lines, first["n"] + 2, F.lit(longest)), begun, longer, lambda a: F.struct(first["n"].alias("n"), a["last"].alias("last"), a["line"].alias("line")))
+
+    def bound(x: Column, f) -> Column:
+        """f(x), with x evaluated once."""
+        return F.element_at(F.transform(F.array(x), f), 1)
+
+    runs = F.filter(bound(counted, lambda c: F.transform(c, lambda x: run(c, x))), lambda x: x["last"] > x["n"])
+    cued = F.filter(F.concat(lines, runs), lambda x: x["line"].rlike(CUES))
+    place = lambda x: (x["n"].alias("n"), x["last"].alias("last"))
+    worded = F.transform(cued, lambda x: F.struct(*place(x), own_grams(F.regexp_extract_all(x["line"], F.lit(WORD), F.lit(0))).alias("grams")))
+    scored = F.transform(worded, lambda x: F.struct(*place(x), x["grams"].alias("grams"), logits(x["grams"]).alias("x")))
+    chosen = F.transform(scored, lambda x: F.struct(*place(x), x["grams"].alias("grams"), chances(x["x"]).alias("e")))
+    named = F.transform(chosen, lambda x: F.struct(*place(x), x["grams"].alias("grams"), best(x["e"]).alias("best")))
+
+    def standing(all_found: Column) -> Column:
+        def stays(x: Column) -> Column:
+            def better(o: Column) -> Column:
+                meets = o["confirmed"] & (o["family"] == x["family"]) & (o["n"] <= x["last"]) & (x["n"] <= o["last"])
+                return meets & ((o["n"] == o["last"]) | (o["overlap"] > x["overlap"]) | ((o["overlap"] == x["overlap"]) & (o["n"] > x["n"])))
+
+            return (x["n"] == x["last"]) | (x["confirmed"] & (x["family"] != UNKNOWN) & ~F.exists(all_found, better))
+
+        return F.transform(F.array_sort(F.filter(all_found, stays)), lambda x: F.struct(*(x[c].alias(c) for c in ("n", "family", "probability", "overlap", "confirmed"))))
+
+    return F.when(F.lower(text).rlike(CUES), bound(F.transform(named, compared), standing)).otherwise(F.array().cast("array<struct<n:int,family:string,probability:double,overlap:double,confirmed:boolean>>"))

@@ -58,3 +58,20 @@ def test_plan_has_no_python(spark, sf_dir):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
     assert df.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_wrapped_notices(spark):
+    """Hard-wrapped notices are found, once, at the line where they begin; a blank line ends them."""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+    mit = """Permission is hereby granted, free of charge,
+to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal"""
+    apart = gpl.replace("modify\n", "modify\n\n").replace("by\n", "by\n\n")
+    texts = ["Some words\nof a header\n\n" + gpl, gpl.replace("\n", "\n * "), mit, apart, "The license\nof the driver\nwas lost"]
+    docs = documents(spark, list(enumerate(texts)))
+    rows = docs.select("doc_id", licenses.license_paragraphs(docs.text, licenses.trained()).alias("p")).collect()
+    found = {r.doc_id: [(x.n, x.family) for x in r.p if x.confirmed and x.family != licenses.UNKNOWN] for r in rows}
+    assert found == {0: [(3, "gpl")], 1: [(0, "gpl")], 2: [(0, "mit")], 3: [], 4: []}
