@@ -85,6 +85,18 @@ def select_k(histogram: DataFrame, bins: int, k_max: int = 6, mass_percent: int
     return by_part.join(best, ["token_id", "k"]).select("token_id", F.col("k").cast("long").alias("k"), F.col("copy").cast("long").alias("copy"), target)
 
 
+def select_candidates(losses: DataFrame, n: int) -> DataFrame:
+    """token_id of the n ids of most loss, if they have any; ties go to the lower id."""
+    return select_parents(losses, n, 0).select(F.col("u").alias("token_id"))
+
+
+def fixed_k(tokens: DataFrame, k: int) -> DataFrame:
+    """token_id, k, copy, target_scaled: k copies of each token, aimed at the middles of k equal parts."""
+    targets = F.array(*[F.lit(round(round((i + 0.5) / k, 6) * SCALE)).cast("long") for i in range(k)])
+    rows = tokens.select("token_id", F.lit(k).cast("long").alias("k"), F.posexplode(targets).alias("copy", "target_scaled"))
+    return rows.withColumn("copy", F.col("copy").cast("long"))
+
+
 def kway_plan(chosen: DataFrame) -> DataFrame:
     """old_index, new_index, copy, target_scaled for tokens of two copies or more; ids above move up by the extra places."""
     kept = chosen.where("k >= 2")
