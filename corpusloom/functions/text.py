@@ -9,22 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.code import WORD_EDGE
+
 # Token and clause patterns, and characters that are replaced before tokenizing.
 TOKEN = r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"
 BREAKS = '.!?,;:"'
-CURLY, STRAIGHT = "‘’‛“”‟", "'''\"\"\""
+CURLY, STRAIGHT = "‘’“”„‟", "''" + '"' * 4
 CLOSE_QUOTE = '"_close'
 #: A noncharacter that stands for a closing quote while a text is cut; it never occurs in text that is interchanged.
 _CLOSE = "﷐"
 
 
 def prepared(text: Column) -> Column:
-    """Straight quotes and lower case. Texts are taken as NFC; see ``nfc`` for others."""
-    return F.lower(F.translate(text, CURLY, STRAIGHT))
+    """Normal form C, straight quotes and lower case. The closing mark's character counts as the one after it."""
+    return F.lower(F.translate(nfc(text), CURLY + _CLOSE, STRAIGHT + chr(ord(_CLOSE) + 1)))
+
+
+#: Characters among which are all that normal form C may change or join.
+_MAY_CHANGE = r"[\x{300}-\x{1FFF}\x{2000}\x{2001}\x{2126}-\x{2FFF}\x{A000}-\x{ABFF}\x{D7B0}-\x{D7FF}\x{E000}-\x{10FFFF}]"
 
 
 def nfc(text: Column) -> Column:
-    """Unicode normal form C, which has no Spark function."""
+    """Unicode normal form C, which has no Spark function. Only texts with characters that it may change go to Python."""
     import unicodedata
 
     import pyarrow as pa
@@ -33,7 +39,7 @@ def nfc(text: Column) -> Column:
         return pa.array([None if v is None else unicodedata.normalize("NFC", v) for v in x.to_pylist()], pa.string())
 
     run.__annotations__ = {"x": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "string")(text)
+    return F.coalesce(F.arrow_udf(run, "string")(F.when(text.rlike(_MAY_CHANGE), text)), text)
 
 
 def clause_tokens(text: Column) -> Column:
@@ -112,8 +118,8 @@ def longest_line(text: Column) -> Column:
 
 
 def identifier_parts(name: Column) -> Column:
-    """Lower-case parts of a camelCase, snake_case or ACRONYMCase name; a name beyond ASCII stays whole."""
-    parts = F.regexp_extract_all(name, F.lit(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z0-9]+|[A-Z]+|[0-9]+"), F.lit(0))
+    """Lower-case words of a camelCase, snake_case or ACRONYMCase name; a name beyond ASCII, or of signs alone, stays whole."""
+    parts = F.filter(F.split(name, WORD_EDGE), lambda x: x != "")
     ascii_only = name.rlike(r"^[\x00-\x7F]*$")
     return F.when(ascii_only & (F.size(parts) > 0), F.transform(parts, F.lower)).otherwise(F.array(F.lower(name)))
 

@@ -1,47 +1,19 @@
-"""Ascending chains, windows, steps, adjacent pairs and probes over id streams.
+"""Ascending chains, windows, steps, adjacent pairs and probes over id streams (see ``streams``).
 
-An id stream has a key (the document), pos, clause and id. Windows are partitioned by document.
+What needs order takes packed documents or rows that know their neighbours; nothing is shuffled before counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.streams import chain_lists, clause_rows, with_neighbours
 
-def _ordered(key: str):
-    return Window.partitionBy(key).orderBy("pos")
 
-
-def with_chains(ids: DataFrame, key: str = "doc_id", reset_on_clause: bool = False, cap: int | None = None) -> DataFrame:
-    """Adds ``chain``, numbered within the document from 0, and ``at``, the place in it.
-
-    A chain is a maximal run of strictly ascending ids; an equal id begins a new one, and so does a new clause
-    if asked for. With a cap, a chain of length L is cut into ceil(L / cap) parts, of which the first
-    L mod parts are one longer.
-    """
-    w = _ordered(key)
-    before, clause = F.lag("id").over(w), F.lag("clause").over(w)
-    breaks = before.isNull() | (F.col("id") <= before)
-    if reset_on_clause:
-        breaks = breaks | (F.col("clause") != clause)
-    rows = ids.withColumn("_new", F.when(breaks, 1).otherwise(0)).withColumn("chain", F.sum("_new").over(w) - 1)
-    own = Window.partitionBy(key, "chain")
-    rows = rows.withColumn("at", F.row_number().over(own.orderBy("pos")) - 1).drop("_new")
-    if cap is None:
-        return rows
-    rows = rows.withColumn("_len", F.count("*").over(own))
-    rows = rows.withColumn("_n", F.ceil(F.col("_len") / cap)).withColumn("_base", F.expr("_len div _n")).withColumn("_more", F.col("_len") % F.col("_n"))
-    part = F.expr("case when at < _more * (_base + 1) then at div (_base + 1) else _more + (at - _more * (_base + 1)) div _base end")
-    rows = rows.withColumn("_part", part)
-    starts = F.when((F.col("at") == 0) | (F.lag("_part").over(w) != F.col("_part")), 1).otherwise(0)
-    rows = rows.withColumn("_new", starts).withColumn("chain", F.sum("_new").over(w) - 1)
-    return rows.withColumn("at", F.row_number().over(own.orderBy("pos")) - 1).drop("_new", "_len", "_n", "_base", "_more", "_part")
-
-
-def chain_histogram(chained: DataFrame, key: str = "doc_id") -> DataFrame:
+def chain_histogram(chains: DataFrame) -> DataFrame:
     """len, n."""
-    return chained.groupBy(key, "chain").agg(F.count("*").alias("len")).groupBy("len").agg(F.count("*").alias("n"))
+    return chains.groupBy(F.size("ids").cast("long").alias("len")).agg(F.count("*").alias("n"))
 
 
 def chain_summary(histogram: DataFrame) -> DataFrame:
@@ -49,58 +21,64 @@ def chain_summary(histogram: DataFrame) -> DataFrame:
     return histogram.agg(F.sum("n").alias("chains"), F.sum(F.col("n") * F.col("len")).alias("tokens"), F.sum(F.when(F.col("len") == 1, F.col("n")).otherwise(0)).alias("len1"), F.max("len").alias("max_len"))
 
 
-def bags(rows: DataFrame, group: Column | str, key: str = "doc_id", name: str = "bag") -> DataFrame:
-    """Ids of each group of a document: distinct, ascending, as text."""
-    return rows.groupBy(key, (F.col(group) if isinstance(group, str) else group).alias(name)).agg(F.array_join(F.array_sort(F.collect_set("id")).cast("array<string>"), " ").alias("ids_str"))
+def chain_averages(summary: DataFrame) -> DataFrame:
+    """The summary with avg_len and the fractions of chains of length 1 and of tokens that begin none; null without chains."""
+    chains = F.nullif(F.col("chains"), F.lit(0))
+    return summary.select("*", (F.col("tokens") / chains).alias("avg_len"), (F.col("len1") / chains).alias("len1_fraction"), (1 - chains / F.nullif(F.col("tokens"), F.lit(0))).alias("inside_fraction"))
+
 
+def as_text(ids: Column | str) -> Column:
+    return F.array_join((F.col(ids) if isinstance(ids, str) else ids).cast("array<string>"), " ")
 
-def window_bags(ids: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
-    return bags(ids, F.floor(F.col("pos") / size), key)
 
+def window_bags(documents: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
+    """bag, ids_str: distinct ids of each run of ``size`` places, ascending, as text."""
+    starts = F.when(F.size("ids") > 0, F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+    rows = documents.select(key, "ids", F.explode(starts).alias("_b"))
+    return rows.select(key, F.col("_b").cast("long").alias("bag"), as_text(F.array_sort(F.array_distinct(F.slice("ids", F.col("_b") * size + 1, size)))).alias("ids_str"))
 
-def chain_bags(chained: DataFrame, key: str = "doc_id") -> DataFrame:
-    return bags(chained, "chain", key)
 
+def chain_bags(chains: DataFrame, key: str = "doc_id") -> DataFrame:
+    """bag, ids_str: each chain, whose ids are distinct and ascend as they are."""
+    return chains.select(key, F.col("chain").alias("bag"), as_text("ids").alias("ids_str"))
 
-def next_token_steps(ids: DataFrame, key: str = "doc_id") -> DataFrame:
+
+def next_token_steps(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """step, input_str, target: each id and the one after it."""
-    rows = ids.select(key, F.col("pos").alias("step"), F.col("id").cast("string").alias("input_str"), F.lead("id").over(_ordered(key)).alias("target"))
-    return rows.where("target is not null")
+    return with_neighbours(rows, key).where("after is not null").select(key, F.col("pos").alias("step"), F.col("id").cast("string").alias("input_str"), F.col("after").alias("target"))
 
 
-def chain_steps(chained: DataFrame, key: str = "doc_id") -> DataFrame:
+def chain_steps(chains: DataFrame, key: str = "doc_id") -> DataFrame:
     """step, input_str, target: each chain and the first id of the next one."""
-    packed = chained.groupBy(key, "chain").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
-    following = F.lead(F.element_at("ids", 1)).over(Window.partitionBy(key).orderBy("chain"))
-    rows = packed.select(key, F.col("chain").alias("step"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("input_str"), following.alias("target"))
-    return rows.where("target is not null")
+    return chains.where("next_first is not null").select(key, F.col("chain").alias("step"), as_text("ids").alias("input_str"), F.col("next_first").alias("target"))
 
 
-def chunks(steps: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
-    """chunk, n: steps in runs of ``size``, the last may be short."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy("step")) - 1
-    return steps.select(key, F.floor(place / size).alias("chunk")).groupBy(key, "chunk").agg(F.count("*").alias("n"))
+def sequence_examples(documents: DataFrame, size: int, key: str = "doc_id", reset_on_clause: bool = False, cap: int | None = None) -> DataFrame:
+    """chunk, inputs (array of id lists) and targets: a document's chain steps in runs of ``size``; the last may be short."""
+    lists = documents.select(key, chain_lists(reset_on_clause, cap).alias("_l")).where(F.size("_l") > 1)
+    rows = lists.select(key, "_l", F.explode(F.sequence(F.lit(0), F.floor((F.size("_l") - 2) / size).cast("int"))).alias("_k"))
+    first = F.col("_k") * size + 1
+    n = F.least(F.lit(size), F.size("_l") - first)
+    return rows.select(key, F.col("_k").cast("long").alias("chunk"), F.slice("_l", first, n).alias("inputs"), F.transform(F.slice("_l", first + 1, n), lambda x: F.get(x, F.lit(0))).alias("targets"))
 
 
-def clause_boundaries(ids: DataFrame, key: str = "doc_id") -> DataFrame:
+def clause_boundaries(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """The places where a clause begins, and the end."""
-    starts = ids.withColumn("_b", F.lag("clause").over(_ordered(key))).where(F.col("_b").isNull() | (F.col("_b") != F.col("clause"))).select(key, F.col("pos").alias("boundary"))
-    return starts.unionByName(ids.groupBy(key).agg((F.max("pos") + 1).alias("boundary")))
+    found = F.concat(F.when(F.col("cpos") == 0, F.array("pos")).otherwise(F.array().cast("array<long>")), F.when(F.col("after").isNull(), F.array(F.col("pos") + 1)).otherwise(F.array().cast("array<long>")))
+    return with_neighbours(rows, key).select(key, F.explode(found).alias("boundary"))
 
 
-def probes(ids: DataFrame, min_history: int = 1, key: str = "doc_id") -> DataFrame:
+def probes(rows: DataFrame, min_history: int = 1, key: str = "doc_id") -> DataFrame:
     """A probe for each place with enough before it, and whether a clause opens there."""
-    opener = F.lag("clause").over(_ordered(key)) != F.col("clause")
-    return ids.select(key, "pos", F.coalesce(opener, F.lit(True)).alias("is_opener")).where(F.col("pos") >= max(1, min_history))
+    return rows.select(key, "pos", (F.col("cpos") == 0).alias("is_opener")).where(F.col("pos") >= max(1, min_history))
 
 
-def clause_contexts(ids: DataFrame, clauses: int, key: str = "doc_id") -> DataFrame:
+def clause_contexts(documents: DataFrame, clauses: int, key: str = "doc_id") -> DataFrame:
     """last_clause, ctx, target: ids of so many consecutive clauses, and the first id of the clause after them."""
-    packed = ids.groupBy(key, "clause").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
-    w = Window.partitionBy(key).orderBy("clause")
-    rows = packed.select(key, F.col("clause").alias("last_clause"), F.flatten(F.collect_list("ids").over(w.rowsBetween(1 - clauses, 0))).alias("_ctx"), F.lag("clause", clauses - 1).over(w).alias("_first"), F.lead("clause").over(w).alias("_next"), F.lead(F.element_at("ids", 1)).over(w).alias("target"))
-    rows = rows.where((F.col("_first") == F.col("last_clause") - (clauses - 1)) & (F.col("_next") == F.col("last_clause") + 1))
-    return rows.select(key, "last_clause", F.array_join(F.col("_ctx").cast("array<string>"), " ").alias("ctx"), "target")
+    rows = clause_rows(documents, key, clauses - 1).where(F.col("next_clause") == F.col("clause") + 1)
+    if clauses > 1:
+        rows = rows.where((F.size("earlier") == clauses - 1) & (F.get("earlier", F.lit(0))["clause"] == F.col("clause") - (clauses - 1)))
+    return rows.select(key, F.col("clause").alias("last_clause"), as_text(F.concat(F.flatten("earlier.ids"), "ids")).alias("ctx"), F.col("next_first").alias("target"))
 
 
 def split_last(items: Column) -> tuple[Column, Column]:
@@ -114,12 +92,13 @@ def padded(items: Column, size: int, value: int = -1) -> Column:
     return F.slice(F.concat(items, F.array_repeat(F.lit(value), size)), 1, size)
 
 
-def pair_counts(ids: DataFrame, key: str = "doc_id", cross_clause: bool = False) -> DataFrame:
-    """u, v, w: how often v follows u. Equal neighbours make no pair but still part their neighbours."""
-    w = _ordered(key)
-    rows = ids.select("id", F.lead("id").over(w).alias("v"), (F.lead("clause").over(w) == F.col("clause")).alias("same"))
-    rows = rows.where((F.col("v") != F.col("id")) & (F.lit(cross_clause) | F.col("same")))
-    return rows.groupBy(F.col("id").alias("u"), "v").agg(F.count("*").alias("w"))
+def pair_counts(rows: DataFrame, key: str = "doc_id", cross_clause: bool = False) -> DataFrame:
+    """u, v, w: how often v follows u. Equal neighbours make no pair but still part their neighbours.
+
+    Rows know what follows them, so the only shuffle is that of the counts.
+    """
+    follows = F.col("after").isNotNull() & (F.col("after") != F.col("id")) & (F.lit(cross_clause) | (F.col("cpos") < F.col("clen") - 1))
+    return with_neighbours(rows, key).where(follows).groupBy(F.col("id").alias("u"), F.col("after").alias("v")).agg(F.count("*").alias("w"))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:

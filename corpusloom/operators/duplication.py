@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.chains import both_ways
+from corpusloom.operators.streams import with_neighbours
+from corpusloom.sources.shared import written
 
 SCALE = 1_000_000
 
@@ -31,25 +33,35 @@ def duplicate_plan(parents: DataFrame) -> DataFrame:
     return rows.select(F.col("u").alias("old_index"), "early_new", (F.col("early_new") + 1).alias("late_new"), "loss")
 
 
-def renumbered(ids: DataFrame, parents: list[tuple[int, int]]):
-    """A column: the id moved up by the extra places of the parents below it.
+def renumbering(size: int, parents: DataFrame) -> DataFrame:
+    """id and new_id for the ids below ``size``: each moves up by the extra places of the parents (id, extra) below it.
 
-    parents: (id, extra places), a plan's worth: its size is a parameter of the plan.
+    One row an id of the vocabulary; the running sum is taken by one task, as the vocabulary's own numbering is.
     """
-    if not parents:
-        return F.col("id")
-    table = F.array(*[F.struct(F.lit(p).cast("long").alias("p"), F.lit(x).cast("long").alias("x")) for p, x in sorted(parents)])
-    return F.col("id") + F.aggregate(table, F.lit(0).cast("long"), lambda a, t: a + F.when(t["p"] < F.col("id"), t["x"]).otherwise(0))
+    extra = parents.select(F.col("id").cast("long").alias("id"), F.col("extra").cast("long").alias("extra"))
+    below = F.coalesce(F.sum("extra").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parents.sparkSession.range(size).join(extra, "id", "left").select("id", (F.col("id") + below).alias("new_id"))
 
 
-def apply_duplicates(ids: DataFrame, plan: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, pos, new_id: a parent takes its late place where the token before it stands above it in the order."""
-    w = Window.partitionBy(key).orderBy("pos")
-    parents = [(r.old_index, 1) for r in plan.select("old_index").collect()]  # the plan's size is a parameter
-    rows = ids.withColumn("_before", F.lag("id").over(w)).withColumn("_new", renumbered(ids, parents))
-    is_parent = F.col("id").isin([p for p, _ in parents]) if parents else F.lit(False)
-    late = is_parent & F.coalesce(F.col("_before") > F.col("id"), F.lit(False))
-    return rows.select(key, "pos", (F.col("_new") + F.when(late, 1).otherwise(0)).alias("new_id"))
+#: Rows of a table by id that goes to every executor; a larger one is joined by a shuffle.
+MOST_BROADCAST_ROWS = 2_000_000
+
+
+def bounded(table: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
+    """The table, written down, and marked for broadcast where its counted rows allow."""
+    table = written(table)
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def apply_duplicates(rows: DataFrame, plan: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
+    """key, pos, new_id: a parent takes its late place where the token before it stands above it in the order.
+
+    New ids come by a join with a table of the vocabulary's ``size``, of which the plan is a part.
+    """
+    parents = plan.select(F.col("old_index").alias("id"), F.lit(1).alias("extra"))
+    table = bounded(renumbering(size, parents).join(parents, "id", "left"))
+    late = F.col("extra").isNotNull() & F.coalesce(F.col("before") > F.col("id"), F.lit(False))
+    return with_neighbours(rows, key).join(table, "id").select(key, "pos", (F.col("new_id") + F.when(late, 1).otherwise(0)).alias("new_id"))
 
 
 def position_histogram(ids: DataFrame, bins: int) -> DataFrame:
@@ -60,7 +72,7 @@ def position_histogram(ids: DataFrame, bins: int) -> DataFrame:
 
 def predecessor_histogram(ids: DataFrame, bins: int, size: int, key: str = "doc_id") -> DataFrame:
     """token_id, bin, n: ranks of the tokens before, across clauses, in equal bins of the order."""
-    before = ids.select("id", F.lag("id").over(Window.partitionBy(key).orderBy("pos")).alias("_before")).where("_before is not null")
+    before = with_neighbours(ids, key).where("before is not null").select("id", F.col("before").alias("_before"))
     rank = F.expr(f"least({bins}L * _before div {max(size - 1, 1)}L, {bins - 1}L)")
     return before.groupBy(F.col("id").alias("token_id"), rank.alias("bin")).agg(F.count("*").alias("n"))
 
@@ -106,14 +118,14 @@ def kway_plan(chosen: DataFrame) -> DataFrame:
     return kept.join(bases, "token_id").select(F.col("token_id").alias("old_index"), (F.col("base") + F.col("copy")).alias("new_index"), "copy", "target_scaled")
 
 
-def apply_kway(ids: DataFrame, plan: DataFrame, place: str, key: str = "doc_id") -> DataFrame:
+def apply_kway(rows: DataFrame, plan: DataFrame, place: str, size: int, key: str = "doc_id") -> DataFrame:
     """key, pos, new_id: a token with copies takes that whose target is nearest to ``place``, a column of millionths.
 
     Ties go to the lower copy; without a place (the first token, where predecessors decide) it's the first copy.
+    All ids and their copies are one table of the vocabulary's ``size`` that the tokens are joined with.
     """
-    copies = plan.groupBy(F.col("old_index").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("new_index"), F.col("target_scaled")))).alias("copies"))
-    sizes = [(r.id, r.n - 1) for r in copies.select("id", F.size("copies").alias("n")).collect()]  # the plan's size is a parameter
-    ranked = F.array_sort(F.transform("copies", lambda c: F.struct(F.abs(c["target_scaled"] - F.col(place)).alias("d"), c["new_index"].alias("i"))))
-    nearest = F.when(F.col(place).isNull(), F.element_at("copies", 1)["new_index"]).otherwise(F.element_at(ranked, 1)["i"])
-    rows = ids.join(copies, "id", "left")
-    return rows.select(key, "pos", F.when(F.col("copies").isNotNull(), nearest).otherwise(renumbered(ids, sizes)).alias("new_id"))
+    copies = plan.groupBy(F.col("old_index").alias("id")).agg(F.array_sort(F.collect_list(F.struct("new_index", "target_scaled"))).alias("copies"))
+    table = bounded(renumbering(size, copies.select("id", (F.size("copies") - 1).alias("extra"))).join(copies, "id", "left"))
+    ranked = F.array_min(F.transform("copies", lambda c: F.struct(F.abs(c["target_scaled"] - F.col(place)).alias("d"), c["new_index"].alias("i"))))["i"]
+    nearest = F.when(F.col(place).isNull(), F.element_at("copies", 1)["new_index"]).otherwise(ranked)
+    return rows.join(table, "id").select(key, "pos", F.when(F.col("copies").isNotNull(), nearest).otherwise(F.col("new_id")).alias("new_id"))

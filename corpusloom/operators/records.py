@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import pyarrow as pa
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.operators.chains import chain_steps, next_token_steps, with_chains
+from corpusloom.operators.chains import chain_histogram, chain_steps, chain_summary, next_token_steps
+from corpusloom.operators.streams import chain_lists, chain_rows, clause_rows, computed, remapped, token_rows
 
 
 def normalized(records: DataFrame) -> DataFrame:
@@ -23,11 +25,10 @@ def normalized(records: DataFrame) -> DataFrame:
     return typed.unionByName(new)
 
 
-def phrase_pairs(ids: DataFrame, key: str = "doc_id", phrase: str = "clause") -> DataFrame:
-    """Each phrase and the next one of its document: its last id (single), all its ids (packed) and the next one's first id."""
-    packed = ids.groupBy(key, phrase).agg(F.max_by("id", "pos").alias("single"), F.min_by("id", "pos").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("packed"))
-    following = packed.select(key, (F.col(phrase) - 1).alias(phrase), F.col("first").alias("target"))
-    return packed.join(following, [key, phrase]).select(key, phrase, "single", "packed", "target")
+def phrase_pairs(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Each clause and the next one of its document: its last id (single), all its ids (packed) and the next one's first id."""
+    rows = clause_rows(documents, key).where(F.col("next_clause") == F.col("clause") + 1)
+    return rows.select(key, "clause", F.element_at("ids", -1).alias("single"), F.col("ids").alias("packed"), F.col("next_first").alias("target"))
 
 
 def example_targets(bags: DataFrame, key: str, order: str, indices: str) -> DataFrame:
@@ -49,48 +50,46 @@ def nested_layout(flat: DataFrame, key: str) -> DataFrame:
     return inner.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "_l"))), lambda x: x["_l"]).alias("lists"))
 
 
-def context_steps(ids: DataFrame, recent: int, depth: int, key: str = "doc_id") -> DataFrame:
+def context_steps(documents: DataFrame, recent: int, depth: int, key: str = "doc_id") -> DataFrame:
     """pos, ctx, target for each place but the first: the ``recent`` ids before it one by one, and before those the
-    last ``depth`` chains. Steps are parted by ``|``, ids in a step by a space.
+    last ``depth`` chains, the last of them up to where the recent ids begin. Steps are parted by ``|``, ids in a
+    step by a space.
 
-    A chain that is cut where the recent ids begin is the prefix that ends there, so windows over rows and over
-    chains give every context without comparing places with each other.
+    A document's chains stay one array; each place takes slices of it.
     """
-    chained = with_chains(ids, key)
-    own = Window.partitionBy(key, "chain").orderBy("pos")
-    text = lambda c: F.array_join(c.cast("array<string>"), " ")
-    rows = chained.withColumn("_prefix", text(F.collect_list("id").over(own.rowsBetween(Window.unboundedPreceding, 0))))
-    whole = rows.groupBy(key, "chain").agg(F.max_by("_prefix", "pos").alias("_whole"))
-    earlier = whole.select(key, "chain", F.collect_list("_whole").over(Window.partitionBy(key).orderBy("chain").rowsBetween(1 - depth, -1)).alias("_earlier")) if depth > 1 else whole.select(key, "chain", F.array().cast("array<string>").alias("_earlier"))
-    rows = rows.join(earlier, [key, "chain"]).withColumn("_front", F.concat("_earlier", F.array("_prefix")))
-    w = Window.partitionBy(key).orderBy("pos")
-    front = F.coalesce(F.lag("_front", recent + 1).over(w), F.array().cast("array<string>"))
-    tail = F.collect_list(F.col("id").cast("string")).over(w.rowsBetween(-recent, -1))
-    return rows.select(key, "pos", F.array_join(F.concat(front, tail), "|").alias("ctx"), F.col("id").alias("target")).where("pos > 0")
-
-
-def split_points(ids: DataFrame, seed: int, key: str = "doc_id") -> DataFrame:
-    """key and split: a clause boundary (0 and the end among them) that a Mersenne Twister seeded by the document picks."""
-    w = Window.partitionBy(key).orderBy("pos")
-    opens = F.coalesce(F.lag("clause").over(w) != F.col("clause"), F.lit(True))
-    found = ids.withColumn("_o", opens).groupBy(key).agg(F.array_sort(F.concat(F.collect_list(F.when(F.col("_o"), F.col("pos"))), F.array(F.max("pos") + 1))).alias("_b"))
-
-    def run(keys: pa.Array, bounds: pa.Array) -> pa.Array:
-        return pa.array([random.Random(seed * 1_000_003 + k).choice(b) for k, b in zip(keys.to_pylist(), bounds.to_pylist(), strict=True)], pa.int64())
-
-    run.__annotations__ = {"keys": pa.Array, "bounds": pa.Array, "return": pa.Array}
-    return found.select(key, F.arrow_udf(run, T.LongType())(F.col(key), F.col("_b")).alias("split"))
-
-
-def hybrid_steps(ids: DataFrame, splits: DataFrame, cap: int | None = None, key: str = "doc_id") -> DataFrame:
-    """step, input and target: chains before the document's split place, single ids from it on."""
-    rows = ids.join(splits, key)
-    front = with_chains(rows.where(F.col("pos") < F.col("split")), key, cap=cap).select(key, "pos", "id", F.col("chain").cast("long").alias("_s"), F.lit(0).alias("_p"))
-    back = rows.where(F.col("pos") >= F.col("split")).select(key, "pos", "id", F.col("pos").alias("_s"), F.lit(1).alias("_p"))
-    steps = front.unionByName(back).groupBy(key, "_p", "_s").agg(F.min("pos").alias("start"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("input"))
-    w = Window.partitionBy(key).orderBy("start")
-    out = steps.select(key, (F.row_number().over(w) - 1).alias("step"), "input", F.element_at(F.lead("input").over(w), 1).alias("target"))
-    return out.where("target is not null")
+    lists = documents.select(key, "ids", chain_lists().alias("_l"))
+    begins = F.transform("_l", lambda x, i: F.transform(x, lambda _, j: F.struct(i.alias("c"), j.alias("a"))))
+    rows = lists.select(key, "ids", "_l", F.flatten(begins).alias("_w")).select("*", F.posexplode("ids").alias("_p", "target")).where("_p > 0")
+    spot = F.get("_w", F.col("_p") - recent - 1)  # where the place before the recent ids lies
+    text = lambda x: F.array_join(x.cast("array<string>"), " ")
+    cut = F.slice(F.get("_l", spot["c"]), F.lit(1), spot["a"] + 1)
+    early = F.greatest(spot["c"] - (depth - 1), F.lit(0))
+    front = F.concat(F.transform(F.slice("_l", early + 1, spot["c"] - early), text), F.array(text(cut)))
+    tail = F.slice("ids", F.greatest(F.col("_p") - recent, F.lit(0)) + 1, F.least(F.col("_p"), F.lit(recent))).cast("array<string>")
+    ctx = F.concat(F.when(spot.isNotNull(), front).otherwise(F.array().cast("array<string>")), tail)
+    return rows.select(key, F.col("_p").cast("long").alias("pos"), F.array_join(ctx, "|").alias("ctx"), "target")
+
+
+def split_points(documents: DataFrame, seed: int, key: str = "doc_id") -> DataFrame:
+    """The documents with ``split``: a clause boundary (0 and the end among them) that a Mersenne Twister seeded by the key picks."""
+
+    def run(keys: pa.Array, clauses: pa.Array) -> pa.Array:
+        out = []
+        for k, places in zip(keys.to_pylist(), clauses.to_pylist(), strict=True):
+            ends = [0, *itertools.accumulate(len(list(g)) for _, g in itertools.groupby(places or []))]
+            out.append(random.Random(seed * 1_000_003 + (k or 0)).choice(ends))
+        return pa.array(out, pa.int64())
+
+    return computed(documents, "split", T.LongType(), run, key, "clauses")
+
+
+def hybrid_steps(documents: DataFrame, cap: int | None = None, key: str = "doc_id") -> DataFrame:
+    """step, input and target: chains before the document's ``split`` place, single ids from it on."""
+    split = F.col("split").cast("int")
+    halves = documents.select(key, *[F.slice(c, F.lit(1), split).alias(f"_{c}") for c in ("ids", "clauses")], F.slice("ids", split + 1, F.greatest(F.size("ids") - split, F.lit(0))).alias("_back"))
+    steps = halves.select(key, F.concat(chain_lists(cap=cap, ids="_ids", clauses="_clauses"), F.transform("_back", lambda x: F.array(x))).alias("_s"))
+    rows = steps.select(key, "_s", F.posexplode("_s").alias("step", "input"))
+    return rows.select(key, "step", "input", F.get(F.get("_s", F.col("step") + 1), F.lit(0)).alias("target")).where("target is not null")
 
 
 def with_closing_quotes(records: DataFrame, quote: int, closing: int, keys: list[str]) -> DataFrame:
@@ -138,12 +137,17 @@ def sampled(rows: DataFrame, key: str, logits: str, k: int, temperature: float,
     return top.groupBy(key).agg(F.min_by("i", F.struct(-F.col("_s"), "i")).alias("token"))
 
 
-def in_orders(ids: DataFrame, orders: DataFrame) -> DataFrame:
-    """The id stream once for each named order (name, id, place), with the places as ids and the name in the key.
+def summaries_by_order(documents: DataFrame, orders: dict[str, DataFrame | None]) -> DataFrame:
+    """name, chains, tokens, len1, max_len of the chains under each named order (id, new_id; None: the ids themselves).
 
-    Names are few and given by the caller; each token meets its own places by an equality join.
+    Orders are few and given by the caller; documents go through each of them as arrays.
     """
-    return ids.join(orders, "id").drop("id").withColumnRenamed("place", "id")
+    out = None
+    for name, order in orders.items():
+        chains = chain_rows(documents if order is None else remapped(documents, order, -1))
+        part = chain_summary(chain_histogram(chains)).select(F.lit(name).alias("name"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def mismatched(plan: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -151,26 +155,26 @@ def mismatched(plan: DataFrame, vocab: DataFrame) -> DataFrame:
     return plan.join(vocab.select(F.col("idx").alias("old_index"), "token"), ["old_index", "token"], "left_anti")
 
 
-#: Ways to make steps of an id stream, by name. Callers may add their own.
+#: Ways to make steps of packed documents, by name. Callers may add their own.
 CHAIN_MODES = {
-    "token": lambda ids, **_: next_token_steps(ids),
-    "phrase": lambda ids, cap=None, **_: chain_steps(with_chains(ids, reset_on_clause=True, cap=cap)),
-    "cross_phrase": lambda ids, cap=None, **_: chain_steps(with_chains(ids, cap=cap)),
-    "hybrid": lambda ids, cap=None, seed=0, **_: hybrid_steps(ids, split_points(ids, seed), cap),
+    "token": lambda documents, **_: next_token_steps(token_rows(documents)),
+    "phrase": lambda documents, cap=None, **_: chain_steps(chain_rows(documents, reset_on_clause=True, cap=cap)),
+    "cross_phrase": lambda documents, cap=None, **_: chain_steps(chain_rows(documents, cap=cap)),
+    "hybrid": lambda documents, cap=None, seed=0, **_: hybrid_steps(split_points(documents, seed), cap),
 }
 
 
-def steps(ids: DataFrame, mode: str, **options) -> DataFrame:
+def steps(documents: DataFrame, mode: str, **options) -> DataFrame:
     if mode not in CHAIN_MODES:
         raise ValueError(f"no mode {mode}; known: {', '.join(sorted(CHAIN_MODES))}")
-    return CHAIN_MODES[mode](ids, **options)
+    return CHAIN_MODES[mode](documents, **options)
 
 
-def sweep(ids: DataFrame, recents: list[int], depths: list[int], key: str = "doc_id") -> DataFrame:
+def sweep(documents: DataFrame, recents: list[int], depths: list[int], key: str = "doc_id") -> DataFrame:
     """The contexts of every place for every pair of settings, tagged with recent and depth."""
     out = None
     for x in recents:
         for d in depths:
-            part = context_steps(ids, x, d, key).withColumn("recent", F.lit(x)).withColumn("depth", F.lit(d))
+            part = context_steps(documents, x, d, key).withColumn("recent", F.lit(x)).withColumn("depth", F.lit(d))
             out = part if out is None else out.unionByName(part)
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import clause_tokens
+from corpusloom.operators.streams import chain_lists, clause_rows, token_rows
 
 #: Relative positions are summed as whole numbers of this, so that sums don't depend on the order of rows.
 SCALE = 1_000_000_000
@@ -55,18 +56,6 @@ def lookup(vocab: DataFrame, min_count: int) -> DataFrame:
     return numbered.unionByName(last)
 
 
-def with_ids(stream: DataFrame, ids: DataFrame, unknown: bool = True) -> DataFrame:
-    """The stream with ``id``; other types get the unknown token's.
-
-    The unknown token has the largest id, so a left join and one number give it. The vocabulary joins by hash
-    or by broadcast as its size allows; a frequent token is a skewed key that adaptive execution splits.
-    """
-    joined = stream.join(ids.select(F.col("token").alias("tok"), "id"), "tok", "left")
-    if not unknown:
-        return joined.where("id is not null")
-    return joined.withColumn("id", F.coalesce("id", F.lit(ids.agg(F.max("id")).first()[0])))
-
-
 def top_k_remap(vocab: DataFrame, k: int) -> DataFrame:
     """old_id, new_id: the k most frequent types keep their order and are numbered anew, all others get k."""
     ranked = vocab.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("cnt"), "idx")))
@@ -84,12 +73,13 @@ def union_census(stream: DataFrame, domain: str) -> DataFrame:
     return stream.groupBy("tok").agg(F.count("*").alias("cnt"), F.countDistinct(domain).alias("n_domains"))
 
 
-def sparse_records(ids: DataFrame, key: str = "doc_id") -> DataFrame:
+def sparse_records(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """A ``single`` record for each token with an id, and a ``packed`` one for each clause whose ids, two at least, ascend."""
-    packed = ids.groupBy(key, "clause").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
-    ascending = F.forall(F.sequence(F.lit(1), F.size("ids") - 1), lambda i: F.element_at("ids", i) < F.element_at("ids", i + 1))
-    packed = packed.where((F.size("ids") > 1)).where(ascending).select(key, "clause", F.lit("packed").alias("record_type"), F.lit(-1).cast("long").alias("pos"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("indices_str"))
-    single = ids.select(key, "clause", F.lit("single").alias("record_type"), "pos", F.col("id").cast("string").alias("indices_str"))
+    none = F.lit(-1).cast("long")
+    known = clause_rows(documents, key).select(key, "clause", F.filter("ids", lambda x: x.isNotNull()).alias("ids")).where(F.size("ids") > 1)
+    packed = known.where(F.size(chain_lists(ids=F.col("ids"), clauses=F.col("ids"))) == 1)
+    packed = packed.select(key, "clause", F.lit("packed").alias("record_type"), none.alias("pos"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("indices_str"))
+    single = token_rows(documents, key).where("id is not null").select(key, "clause", F.lit("single").alias("record_type"), "pos", F.col("id").cast("string").alias("indices_str"))
     return single.unionByName(packed)
 
 

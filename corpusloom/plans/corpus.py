@@ -9,6 +9,7 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import chains as ch
 from corpusloom.operators import duplication as dup
 from corpusloom.operators import ordering
+from corpusloom.operators import streams as st
 from corpusloom.operators import vocabulary as vo
 from corpusloom.plans import sql
 from corpusloom.plans.catalog import query
@@ -26,9 +27,25 @@ def vocab(spark: SparkSession, sf: str) -> DataFrame:
     return vo.vocabulary(vo.census(stream(spark, sf)))
 
 
+def lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The lookup, of vocabulary size, written down once."""
+    return written(vo.lookup(vocab(spark, sf), MIN))
+
+
+def documents(spark: SparkSession, sf: str, table_of_ids: DataFrame | None = None, unknown: bool = True) -> DataFrame:
+    """Packed documents: tokens of the lookup, all others as unknown (or null)."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return st.id_documents(docs, lookup(spark, sf) if table_of_ids is None else table_of_ids, unknown=unknown)
+
+
 def ids(spark: SparkSession, sf: str) -> DataFrame:
-    """The id stream: tokens of the lookup, all others as unknown. The lookup, of vocabulary size, is written down once."""
-    return vo.with_ids(stream(spark, sf), written(vo.lookup(vocab(spark, sf), MIN))).select("doc_id", "pos", "clause", "cpos", "clen", "id")
+    """The id stream as rows that know their neighbours."""
+    return st.token_rows(documents(spark, sf))
+
+
+def known_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Packed documents in which tokens without an id are null."""
+    return documents(spark, sf, lookup(spark, sf).where(F.col("token") != vo.UNKNOWN), unknown=False)
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,15 +137,13 @@ def union_census_by_lang(spark, sf):
     ),
 )
 def sparse_records(spark, sf):
-    known = vo.lookup(vocab(spark, sf), MIN).where(F.col("token") != vo.UNKNOWN)
-    return vo.sparse_records(vo.with_ids(stream(spark, sf), known, unknown=False))
+    return vo.sparse_records(known_documents(spark, sf))
 
 
 @query("canonical_stream", sql.with_(sql.IDS, "SELECT s.doc_id, s.pos AS abs_pos, s.clause AS phrase_id, k.id FROM s JOIN k ON s.tok = k.token"))
 def canonical_stream(spark, sf):
     """Single records as written, and once more as later copies that lose to the first record of their place."""
-    known = vo.lookup(vocab(spark, sf), MIN).where(F.col("token") != vo.UNKNOWN)
-    rows = vo.with_ids(stream(spark, sf), known, unknown=False)
+    rows = st.token_rows(known_documents(spark, sf)).where("id is not null")
     record = rows.select("doc_id", F.lit("single").alias("record_type"), (F.col("pos") - F.col("cpos")).alias("start"), F.col("cpos").alias("token_pos"), F.col("clause").alias("phrase_id"), F.array("id").alias("indices"), F.lit(1).alias("line_no"))
     later = record.withColumn("indices", F.array(F.lit(-1).cast("long"))).withColumn("line_no", F.lit(2))
     return vo.canonical_stream(record.unionByName(later), ["doc_id"])
@@ -175,9 +190,10 @@ def duplicate_plan(spark, sf):
     ),
 )
 def duplicate_apply(spark, sf):
-    rows = ids(spark, sf)
+    known = lookup(spark, sf)
+    rows = st.token_rows(documents(spark, sf, known))
     plan = dup.duplicate_plan(dup.select_parents(dup.conflict_losses(ch.pair_counts(rows)), 100))
-    return dup.apply_duplicates(rows, plan)
+    return dup.apply_duplicates(rows, plan, known.count())
 
 
 @query("position_histogram", sql.with_(sql.KWAY, "SELECT token_id, bin, n FROM h"))
@@ -193,8 +209,8 @@ def position_histogram(spark, sf):
     ),
 )
 def predecessor_rank_histogram(spark, sf):
-    size = vo.lookup(vocab(spark, sf), MIN).count()
-    return dup.predecessor_histogram(ids(spark, sf), 20, size)
+    known = lookup(spark, sf)
+    return dup.predecessor_histogram(st.token_rows(documents(spark, sf, known)), 20, known.count())
 
 
 @query("kway_select", sql.with_(sql.KWAY, "SELECT token_id, k, copy, target_scaled FROM kw"))
@@ -207,13 +223,10 @@ def kway_plan(spark, sf):
     return dup.kway_plan(dup.select_k(dup.position_histogram(ids(spark, sf), 20), 20))
 
 
-_KWAY_TOP = sql.KWAY.replace("best AS (", "top AS (SELECT token_id FROM (SELECT id AS token_id, count(*) AS n FROM x GROUP BY id ORDER BY n DESC, id LIMIT 200)),\nbest AS (").replace("FROM tt WHERE", "FROM tt SEMI JOIN top USING (token_id) WHERE")
-
-
 @query(
     "kway_apply",
     sql.with_(
-        _KWAY_TOP
+        sql.KWAY
         + """, par AS (SELECT DISTINCT old_index, count(*) OVER (PARTITION BY old_index) - 1 AS extra FROM plan),
         m AS (SELECT v.id, v.id + coalesce(sum(par.extra), 0) AS new_id FROM (SELECT DISTINCT id FROM x) v LEFT JOIN par ON par.old_index < v.id GROUP BY v.id),
         d AS (SELECT doc_id, pos, id, arg_min(new_index, (abs(target_scaled - (1000000 * cpos) // greatest(clen - 1, 1)), new_index)) AS near FROM x JOIN plan ON id = old_index GROUP BY doc_id, pos, id)""",
@@ -221,23 +234,22 @@ _KWAY_TOP = sql.KWAY.replace("best AS (", "top AS (SELECT token_id FROM (SELECT
     ),
 )
 def kway_apply(spark, sf):
-    """The 200 most frequent tokens are candidates."""
-    rows = ids(spark, sf)
-    top = rows.groupBy("id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(200).select(F.col("id").alias("token_id"))
-    histogram = dup.position_histogram(rows, 20).join(top, "token_id")
-    plan = dup.kway_plan(dup.select_k(histogram, 20))
+    """Copies by place in the clause for every token that the plan gives any."""
+    known = lookup(spark, sf)
+    rows = st.token_rows(documents(spark, sf, known))
+    plan = dup.kway_plan(dup.select_k(dup.position_histogram(rows, 20), 20))
     placed = rows.withColumn("place", F.expr("1000000L * cpos div greatest(clen - 1, 1L)"))
-    return dup.apply_kway(placed, plan, "place")
+    return dup.apply_kway(placed, plan, "place", known.count())
 
 
 @query("chain_histogram", sql.with_(sql.chains(), "SELECT len, count(*) AS n FROM cl GROUP BY len"))
 def chain_histogram(spark, sf):
-    return ch.chain_histogram(ch.with_chains(ids(spark, sf)))
+    return ch.chain_histogram(st.chain_rows(documents(spark, sf)))
 
 
 @query("chain_histogram_reset", sql.with_(sql.chains(True), "SELECT len, count(*) AS n FROM cl GROUP BY len"))
 def chain_histogram_reset(spark, sf):
-    return ch.chain_histogram(ch.with_chains(ids(spark, sf), reset_on_clause=True))
+    return ch.chain_histogram(st.chain_rows(documents(spark, sf), reset_on_clause=True))
 
 
 @query(
@@ -248,22 +260,22 @@ def chain_histogram_reset(spark, sf):
     ),
 )
 def chain_histogram_capped(spark, sf):
-    return ch.chain_histogram(ch.with_chains(ids(spark, sf), cap=4))
+    return ch.chain_histogram(st.chain_rows(documents(spark, sf), cap=4))
 
 
 @query("chain_summary", sql.with_(sql.chains(), "SELECT count(*) AS chains, CAST(sum(len) AS BIGINT) AS tokens, count(*) FILTER (WHERE len = 1) AS len1, max(len) AS max_len FROM cl"))
 def chain_summary(spark, sf):
-    return ch.chain_summary(ch.chain_histogram(ch.with_chains(ids(spark, sf))))
+    return ch.chain_summary(ch.chain_histogram(st.chain_rows(documents(spark, sf))))
 
 
 @query("window_bags", sql.with_(sql.IDS, "SELECT doc_id, pos // 16 AS bag, array_to_string(list_sort(list(DISTINCT id)), ' ') AS ids_str FROM x GROUP BY doc_id, pos // 16"))
 def window_bags(spark, sf):
-    return ch.window_bags(ids(spark, sf), 16)
+    return ch.window_bags(documents(spark, sf), 16)
 
 
 @query("chain_bags", sql.with_(sql.chains(), "SELECT doc_id, CAST(chain AS BIGINT) AS bag, ids AS ids_str FROM cl"))
 def chain_bags(spark, sf):
-    return ch.chain_bags(ch.with_chains(ids(spark, sf)))
+    return ch.chain_bags(st.chain_rows(documents(spark, sf)))
 
 
 @query("next_token_steps", sql.with_(sql.IDS, "SELECT * FROM (SELECT doc_id, pos AS step, CAST(id AS VARCHAR) AS input_str, lead(id) OVER (PARTITION BY doc_id ORDER BY pos) AS target FROM x) WHERE target IS NOT NULL"))
@@ -273,12 +285,22 @@ def next_token_steps(spark, sf):
 
 @query("chain_steps", sql.with_(sql.chains(), "SELECT * FROM (SELECT doc_id, CAST(chain AS BIGINT) AS step, ids AS input_str, lead(first_id) OVER (PARTITION BY doc_id ORDER BY chain) AS target FROM cl) WHERE target IS NOT NULL"))
 def chain_steps(spark, sf):
-    return ch.chain_steps(ch.with_chains(ids(spark, sf)))
+    return ch.chain_steps(st.chain_rows(documents(spark, sf)))
+
 
+_CHUNKS = sql.chains() + ", st AS MATERIALIZED (SELECT * FROM (SELECT doc_id, CAST(chain AS BIGINT) AS chain, ids, lead(first_id) OVER (PARTITION BY doc_id ORDER BY chain) AS target FROM cl) WHERE target IS NOT NULL)"
 
-@query("sequence_chunks", sql.with_(sql.chains(), "SELECT doc_id, chain // 64 AS chunk, count(*) AS n FROM (SELECT doc_id, CAST(chain AS BIGINT) AS chain, lead(first_id) OVER (PARTITION BY doc_id ORDER BY chain) AS target FROM cl) WHERE target IS NOT NULL GROUP BY ALL"))
+
+@query("sequence_chunks", sql.with_(_CHUNKS, "SELECT doc_id, chain // 64 AS chunk, count(*) AS n FROM st GROUP BY ALL"))
 def sequence_chunks(spark, sf):
-    return ch.chunks(ch.chain_steps(ch.with_chains(ids(spark, sf))), 64)
+    return ch.sequence_examples(documents(spark, sf), 64).select("doc_id", "chunk", F.size("inputs").cast("long").alias("n"))
+
+
+@query("sequence_examples", sql.with_(_CHUNKS, "SELECT doc_id, chain // 64 AS chunk, string_agg(ids, '|' ORDER BY chain) AS inputs, string_agg(CAST(target AS VARCHAR), ' ' ORDER BY chain) AS targets FROM st GROUP BY ALL"))
+def sequence_examples(spark, sf):
+    """Inputs, a chain a step, and targets of each example."""
+    rows = ch.sequence_examples(documents(spark, sf), 64)
+    return rows.select("doc_id", "chunk", F.array_join(F.transform("inputs", ch.as_text), "|").alias("inputs"), ch.as_text("targets").alias("targets"))
 
 
 @query(
@@ -297,12 +319,12 @@ def sweep_probes(spark, sf):
 @query(
     "clause_window_context",
     sql.with_(
-        sql.IDS + ", g AS (SELECT doc_id, clause, list(id ORDER BY pos) AS l FROM x GROUP BY doc_id, clause)",
+        sql.IDS + ", g AS MATERIALIZED (SELECT doc_id, clause, list(id ORDER BY pos) AS l FROM x GROUP BY doc_id, clause)",
         "SELECT b.doc_id, b.clause AS last_clause, array_to_string(list_concat(a.l, b.l), ' ') AS ctx, n.l[1] AS target FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.clause = b.clause - 1 JOIN g n ON n.doc_id = b.doc_id AND n.clause = b.clause + 1",
     ),
 )
 def clause_window_context(spark, sf):
-    return ch.clause_contexts(ids(spark, sf), 2)
+    return ch.clause_contexts(documents(spark, sf), 2)
 
 
 _SHARDS = """

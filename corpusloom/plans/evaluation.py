@@ -14,6 +14,7 @@ from corpusloom.operators import chains as ch
 from corpusloom.operators import evaluation as ev
 from corpusloom.operators import packing as pk
 from corpusloom.operators import sampling as sm
+from corpusloom.operators import vocabulary as vo
 from corpusloom.plans.catalog import query
 from corpusloom.sources.tables import spread, strided, table
 
@@ -135,10 +136,25 @@ def minified_filter(spark, sf):
     return pages.unionByName(docs).select("kind", "id", tx.longest_line(F.col("x")).alias("max_len"), tx.is_minified(F.col("x")).alias("is_minified"))
 
 
+def page_scripts(spark, sf):
+    """page_id, script (its number in the page) and code of the pages' script elements."""
+    pages = spread(table(spark, sf, "pages").select("page_id", "html"))
+    scripts = F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*>(.*?)</script"), F.lit(1))
+    return pages.select("page_id", F.posexplode(scripts).alias("script", "code"))
+
+
 @query("code_tokens")
 def code_tokens(spark, sf):
-    rows = spread(table(spark, sf, "pages").select("page_id", "html")).select("page_id", F.posexplode(code.code_tokens(F.col("html"))).alias("pos", "t"))
-    return rows.select("page_id", F.col("pos").cast("long").alias("pos"), "t.clause", "t.tok")
+    """Clause tokens of the scripts in pages."""
+    rows = page_scripts(spark, sf).select("page_id", "script", F.posexplode(code.code_tokens(F.col("code"))).alias("pos", "t"))
+    return rows.select("page_id", F.col("script").cast("long").alias("script"), F.col("pos").cast("long").alias("pos"), "t.clause", "t.tok")
+
+
+@query("code_census")
+def code_census(spark, sf):
+    """The census of code tokens, names cut into words; scripts that look minified are left out."""
+    rows = page_scripts(spark, sf).where(~tx.is_minified(F.col("code")))
+    return vo.census(rows.select(F.explode(code.code_tokens(F.col("code"), split_names=True)).alias("t")).select("t.*"))
 
 
 @query(

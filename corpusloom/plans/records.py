@@ -8,40 +8,42 @@ from corpusloom.functions import tasks
 from corpusloom.operators import chains as ch
 from corpusloom.operators import duplication as dup
 from corpusloom.operators import records as rec
+from corpusloom.operators import streams as st
 from corpusloom.operators import vocabulary as vo
 from corpusloom.plans import sql
 from corpusloom.plans.catalog import query
-from corpusloom.plans.corpus import ids, vocab
+from corpusloom.plans.corpus import documents, lookup, vocab
+from corpusloom.sources.shared import written
 from corpusloom.sources.tables import table
 
 
 @query(
     "phrase_pairs",
     sql.with_(
-        sql.IDS + ", g AS (SELECT doc_id, clause, list(id ORDER BY pos) AS l FROM x GROUP BY doc_id, clause)",
+        sql.IDS + ", g AS MATERIALIZED (SELECT doc_id, clause, list(id ORDER BY pos) AS l FROM x GROUP BY doc_id, clause)",
         "SELECT g.doc_id, g.clause, g.l[len(g.l)] AS single, array_to_string(g.l, ' ') AS packed, n.l[1] AS target FROM g JOIN g n ON n.doc_id = g.doc_id AND n.clause = g.clause + 1",
     ),
 )
 def phrase_pairs(spark, sf):
-    return rec.phrase_pairs(ids(spark, sf)).withColumn("packed", F.array_join(F.col("packed").cast("array<string>"), " "))
+    return rec.phrase_pairs(documents(spark, sf)).withColumn("packed", F.array_join(F.col("packed").cast("array<string>"), " "))
 
 
 @query(
     "example_targets",
     sql.with_(
-        sql.IDS + ", g AS (SELECT doc_id, clause, list(id ORDER BY pos) AS l FROM x GROUP BY doc_id, clause), p AS (SELECT *, lag(l) OVER (PARTITION BY doc_id ORDER BY clause) AS b FROM g)",
+        sql.IDS + ", g AS MATERIALIZED (SELECT doc_id, clause, list(id ORDER BY pos) AS l FROM x GROUP BY doc_id, clause), p AS (SELECT *, lag(l) OVER (PARTITION BY doc_id ORDER BY clause) AS b FROM g)",
         "SELECT doc_id, clause, array_to_string(b, ' ') AS input, unnest(l) AS target FROM p WHERE b IS NOT NULL",
     ),
 )
 def example_targets(spark, sf):
-    packed = ids(spark, sf).groupBy("doc_id", "clause").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("l"))
-    return rec.example_targets(packed, "doc_id", "clause", "l").withColumn("input", F.array_join(F.col("input").cast("array<string>"), " "))
+    packed = st.clause_rows(documents(spark, sf), before=1).where(F.size("earlier") == 1)
+    return packed.select("doc_id", "clause", ch.as_text(F.get("earlier", F.lit(0))["ids"]).alias("input"), F.explode("ids").alias("target"))
 
 
 @query("flat_layout", sql.with_(sql.IDS, "SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY clause) - 1 AS slot, cpos AS at, id AS value FROM x"))
 def flat_layout(spark, sf):
-    flat = ids(spark, sf).select("doc_id", F.col("clause").alias("slot"), F.col("cpos").alias("at"), F.col("id").alias("value"))
-    return rec.flat_layout(rec.nested_layout(flat, "doc_id"), "doc_id", "lists")
+    lists = documents(spark, sf).select("doc_id", F.transform(st.clause_lists(), lambda c: c["ids"]).alias("lists"))
+    return rec.flat_layout(lists, "doc_id", "lists")
 
 
 _CONTEXT = (
@@ -57,16 +59,34 @@ ct AS (SELECT doc_id, pos, id, lag(CASE WHEN before IS NULL THEN prefix ELSE bef
 @query("context_steps", sql.with_(_CONTEXT, "SELECT doc_id, pos, CASE WHEN front IS NULL THEN tail ELSE front || '|' || tail END AS ctx, id AS target FROM ct WHERE pos > 0"))
 def context_steps(spark, sf):
     """Four recent tokens and two chains before each place."""
-    return rec.context_steps(ids(spark, sf), 4, 2)
+    return rec.context_steps(documents(spark, sf), 4, 2)
 
 
 @query("hybrid_steps")
 def hybrid_steps(spark, sf):
-    rows = ids(spark, sf)
-    steps = rec.hybrid_steps(rows, rec.split_points(rows, 7), 9)
+    steps = rec.hybrid_steps(rec.split_points(documents(spark, sf), 7), 9)
     return steps.select("doc_id", F.col("step").cast("long").alias("step"), F.array_join(F.col("input").cast("array<string>"), " ").alias("input_str"), "target")
 
 
+@query(
+    "hybrid_steps_half",
+    sql.with_(
+        sql.IDS
+        + """,
+n AS (SELECT doc_id, count(*) // 2 AS sp FROM x GROUP BY doc_id),
+f AS (SELECT x.*, CASE WHEN lag(id) OVER w IS NULL OR id <= lag(id) OVER w THEN 1 ELSE 0 END AS nb FROM x JOIN n USING (doc_id) WHERE pos < sp WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+fc AS (SELECT *, sum(nb) OVER (PARTITION BY doc_id ORDER BY pos) AS ch FROM f),
+hs AS (SELECT doc_id, min(pos) AS start, array_to_string(list(id ORDER BY pos), ' ') AS input_str, min(id) AS first_id FROM fc GROUP BY doc_id, ch
+  UNION ALL SELECT doc_id, pos, CAST(id AS VARCHAR), id FROM x JOIN n USING (doc_id) WHERE pos >= sp)""",
+        "SELECT * FROM (SELECT doc_id, row_number() OVER w - 1 AS step, input_str, lead(first_id) OVER w AS target FROM hs WINDOW w AS (PARTITION BY doc_id ORDER BY start)) WHERE target IS NOT NULL",
+    ),
+)
+def hybrid_steps_half(spark, sf):
+    """Chains in the first half of a document, single ids in the second."""
+    halves = documents(spark, sf).withColumn("split", F.expr("size(ids) div 2"))
+    return rec.hybrid_steps(halves).select("doc_id", F.col("step").cast("long").alias("step"), ch.as_text("input").alias("input_str"), "target")
+
+
 _REMAP = """, r AS (SELECT idx, row_number() OVER (ORDER BY cnt DESC, idx) AS rk FROM v WHERE cnt >= 5),
 n AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS id, CASE WHEN rk <= 1000 THEN sum(CASE WHEN rk <= 1000 THEN 1 ELSE 0 END) OVER (ORDER BY idx) - 1 ELSE 1000 END AS new_id FROM r)"""
 
@@ -76,8 +96,7 @@ def remapped_bags(spark, sf):
     kept = vo.lookup(vocab(spark, sf), sql.MIN_COUNT).where(F.col("token") != vo.UNKNOWN)
     counted = kept.join(vocab(spark, sf).select("token", "cnt"), "token").select("token", F.col("id").alias("idx"), "cnt")
     remap = vo.top_k_remap(counted, 1000).withColumnRenamed("old_id", "id")
-    rows = ids(spark, sf).join(remap, "id", "left").withColumn("id", F.coalesce("new_id", F.lit(1000).cast("long")))
-    return ch.window_bags(rows, 16)
+    return ch.window_bags(st.remapped(documents(spark, sf), remap, 1000), 16)
 
 
 @query("reordered_vocab", sql.with_(sql.VOCAB, "SELECT token, idx AS old_idx, row_number() OVER (ORDER BY cnt DESC, token) - 1 AS idx, cnt FROM v"))
@@ -95,11 +114,13 @@ def reordered_vocab(spark, sf):
     ),
 )
 def extended_vocab(spark, sf):
-    known = vo.lookup(vocab(spark, sf), sql.MIN_COUNT).where(F.col("token") != vo.UNKNOWN)
-    plan = dup.duplicate_plan(dup.select_parents(dup.conflict_losses(ch.pair_counts(ids(spark, sf))), 100))
-    parents = [(r.old_index, 1) for r in plan.collect()]  # the plan's size is a parameter
-    base = known.select("id", dup.renumbered(known, parents).alias("new_index"))
-    copies = F.when(F.col("id").isin([p for p, _ in parents]), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    all_ids = lookup(spark, sf)
+    known = all_ids.where(F.col("token") != vo.UNKNOWN)
+    rows = st.token_rows(documents(spark, sf, all_ids))
+    plan = dup.duplicate_plan(dup.select_parents(dup.conflict_losses(ch.pair_counts(rows)), 100))
+    parents = written(plan.select(F.col("old_index").alias("id"), F.lit(1).alias("extra")))
+    base = known.select("id").join(dup.renumbering(all_ids.count(), parents), "id").join(parents, "id", "left").withColumnRenamed("new_id", "new_index")
+    copies = F.when(F.col("extra").isNotNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     spread = base.select(F.col("id").alias("old_index"), "new_index", F.explode(copies).alias("copy")).withColumn("new_index", F.col("new_index") + F.col("copy"))
     return rec.extended_vocabulary(known.withColumnRenamed("id", "idx"), spread)
 
@@ -139,12 +160,10 @@ def sampled_tokens(spark, sf):
     ),
 )
 def chain_summary_by_order(spark, sf):
-    rows = ids(spark, sf)
-    counted = rows.groupBy("id").agg(F.count("*").alias("n"))
-    orders = counted.select(F.lit("position").alias("name"), "id", F.col("id").alias("place")).unionByName(vo.dense_index(counted, [F.desc("n"), "id"], "place").select(F.lit("frequency").alias("name"), "id", "place"))
-    named = rec.in_orders(rows, orders).withColumn("doc", F.struct("name", "doc_id"))
-    lengths = ch.with_chains(named, "doc").groupBy("doc.name", "doc.doc_id", "chain").agg(F.count("*").alias("len"))
-    return lengths.groupBy("name").agg(F.count("*").alias("chains"), F.sum("len").alias("tokens"), F.count_if(F.col("len") == 1).alias("len1"), F.max("len").alias("max_len"))
+    docs = documents(spark, sf)
+    counted = written(st.token_rows(docs).groupBy("id").agg(F.count("*").alias("n")))
+    frequency = vo.dense_index(counted, [F.desc("n"), "id"], "new_id").select("id", "new_id")
+    return rec.summaries_by_order(docs, {"position": None, "frequency": frequency})
 
 
 @query(

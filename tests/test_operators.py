@@ -9,6 +9,7 @@ from corpusloom.operators import evaluation as ev
 from corpusloom.operators import ordering
 from corpusloom.operators import packing as pk
 from corpusloom.operators import sampling as sm
+from corpusloom.operators import streams as st
 from corpusloom.operators import vocabulary as vo
 
 
@@ -25,6 +26,10 @@ def ids(spark, *docs):
     return spark.createDataFrame(rows, "doc_id long, pos long, clause long, cpos long, clen long, id long")
 
 
+def docs(spark, *items):
+    return st.packed(ids(spark, *items))
+
+
 def hist(df):
     return {r.len: r.n for r in df.collect()}
 
@@ -39,21 +44,21 @@ def test_census(spark):
 
 def test_chains(spark):
     one = [(0, 1), (0, 3), (1, 5), (1, 2), (1, 4)]
-    assert hist(ch.chain_histogram(ch.with_chains(ids(spark, one), reset_on_clause=True))) == {2: 2, 1: 1}
-    assert hist(ch.chain_histogram(ch.with_chains(ids(spark, one)))) == {3: 1, 2: 1}
-    assert hist(ch.chain_histogram(ch.with_chains(ids(spark, [(0, 7), (0, 7), (0, 9)])))) == {1: 1, 2: 1}
+    assert hist(ch.chain_histogram(st.chain_rows(docs(spark, one), reset_on_clause=True))) == {2: 2, 1: 1}
+    assert hist(ch.chain_histogram(st.chain_rows(docs(spark, one)))) == {3: 1, 2: 1}
+    assert hist(ch.chain_histogram(st.chain_rows(docs(spark, [(0, 7), (0, 7), (0, 9)])))) == {1: 1, 2: 1}
 
 
 @pytest.mark.parametrize(("length", "parts"), [(10, [5, 5]), (15, [8, 7]), (19, [7, 6, 6])])
 def test_balanced_cap(spark, length, parts):
-    chained = ch.with_chains(ids(spark, [(0, i) for i in range(length)], [(0, i) for i in range(length)]), cap=9)
-    sizes = chained.groupBy("doc_id", "chain").agg(F.count("*").alias("n")).orderBy("doc_id", "chain").collect()
+    chained = st.chain_rows(docs(spark, [(0, i) for i in range(length)], [(0, i) for i in range(length)]), cap=9)
+    sizes = chained.select("doc_id", "chain", F.size("ids").alias("n")).orderBy("doc_id", "chain").collect()
     assert [r.n for r in sizes] == parts * 2
 
 
 def test_bags_and_probes(spark):
-    one = ids(spark, [(0, 1), (0, 3), (1, 5), (1, 2), (1, 4)])
-    assert sorted(r.ids_str for r in ch.chain_bags(ch.with_chains(one)).collect()) == ["1 3 5", "2 4"]
+    one = docs(spark, [(0, 1), (0, 3), (1, 5), (1, 2), (1, 4)])
+    assert sorted(r.ids_str for r in ch.chain_bags(st.chain_rows(one)).collect()) == ["1 3 5", "2 4"]
     assert sorted(r.ids_str for r in ch.window_bags(one, 4).collect()) == ["1 2 3 5", "4"]
     found = {r.pos: r.is_opener for r in ch.probes(ids(spark, [(0, 1), (0, 3), (0, 2), (1, 4), (1, 5)])).collect()}
     assert found == {1: False, 2: False, 3: True, 4: False}
@@ -74,11 +79,10 @@ def test_pairs_and_conflicts(spark):
 def test_duplicates(spark):
     plan = dup.duplicate_plan(spark.createDataFrame([(2, 9)], "u long, loss long"))
     assert tuple(plan.first()) == (2, 2, 3, 9)
-    rows = dup.apply_duplicates(ids(spark, [(0, 5), (0, 2), (0, 1), (0, 2)]), plan).orderBy("pos").collect()
+    rows = dup.apply_duplicates(ids(spark, [(0, 5), (0, 2), (0, 1), (0, 2)]), plan, 6).orderBy("pos").collect()
     assert [r.new_id for r in rows] == [6, 3, 1, 2]
-    plan = dup.duplicate_plan(spark.createDataFrame([(1, 1), (3, 1)], "u long, loss long"))
-    new = ids(spark, [(0, i) for i in range(6)]).select("id", dup.renumbered(None, [(1, 1), (3, 1)]).alias("n")).orderBy("id").collect()
-    assert [r.n for r in new] == [0, 1, 3, 4, 6, 7]
+    parents = spark.createDataFrame([(1, 1), (3, 1)], "id long, extra long")
+    assert [r.new_id for r in dup.renumbering(6, parents).orderBy("id").collect()] == [0, 1, 3, 4, 6, 7]
 
 
 def test_kway(spark):
@@ -89,7 +93,7 @@ def test_kway(spark):
     assert {r.token_id: r.k for r in chosen.collect()} == {0: 6, 1: 2, 2: 1}
     plan = spark.createDataFrame([(0, i, i, t) for i, t in enumerate((166667, 500000, 833333))], "old_index long, new_index long, copy long, target_scaled long")
     rows = ids(spark, [(0, 0), (0, 0), (0, 0)]).withColumn("place", F.expr("1000000L * cpos div greatest(clen - 1, 1L)"))
-    assert [r.new_id for r in dup.apply_kway(rows, plan, "place").orderBy("pos").collect()] == [0, 1, 2]
+    assert [r.new_id for r in dup.apply_kway(rows, plan, "place", 1).orderBy("pos").collect()] == [0, 1, 2]
 
 
 def test_vocabulary(spark):
@@ -98,7 +102,7 @@ def test_vocabulary(spark):
     kept = {r.token: r.id for r in vo.lookup(vocab, 25).collect()}
     assert kept == {"b": 0, "c": 1, "<unk>": 2}
     assert vo.contiguous(vocab).first().ok and not vo.contiguous(vocab.where("idx <> 1")).first().ok
-    packed = vo.sparse_records(ids(spark, [(0, 0), (0, 1), (1, 1), (1, 0), (2, 0), (2, 0)]))
+    packed = vo.sparse_records(docs(spark, [(0, 0), (0, 1), (1, 1), (1, 0), (2, 0), (2, 0)]))
     assert [r.indices_str for r in packed.where("record_type = 'packed'").collect()] == ["0 1"]
 
 
@@ -162,3 +166,49 @@ def test_evaluation(spark):
     assert {r.g: round(r.vertex_x, 6) for r in ev.parabola_vertex(bowl, ["g"], "x", "y").collect()} == {"g": 4.0, "h": 3.0}
     middle = spark.createDataFrame([(v,) for v in (4.0, 1.0, 3.0, 2.0)], "v double").agg(ev.upper_median("v")).first()[0]
     assert middle == 3.0
+
+
+def test_streams(spark):
+    """Looked up as arrays or by a join, with and without an unknown token; null and empty texts; repeated keys."""
+    rows = spark.createDataFrame([(0, "b a. c a b!"), (1, None), (2, ""), (3, "a b c")], "doc_id long, text string")
+    table = spark.createDataFrame([("a", 0), ("b", 1), ("<unk>", 2)], "token string, id long")
+    a, b = (sorted(map(tuple, st.token_rows(st.id_documents(rows, table, most_bytes=n)).collect())) for n in (1 << 20, 0))
+    assert a == b and [r[5] for r in a] == [1, 0, 2, 2, 0, 1, 2, 0, 1, 2]
+    assert a[0] == (0, 0, 0, 0, 3, 1, None, 0) and a[2] == (0, 2, 0, 2, 3, 2, 0, 2) and a[-1] == (3, 2, 0, 2, 3, 2, 1, None)
+    known = table.where("id < 2")
+    a, b = (sorted(map(tuple, st.id_documents(rows, known, unknown=False, most_bytes=n).collect())) for n in (1 << 20, 0))
+    assert a == b and [r[1] for r in a] == [[1, 0, None, None, 0, 1, None], [], [], [0, 1, None]]
+    twice = st.chain_rows(st.id_documents(rows.union(rows), table))
+    assert twice.count() == 2 * st.chain_rows(st.id_documents(rows, table)).count()
+    windowed = st.with_neighbours(ids(spark, [(0, 4), (0, 5), (1, 6)])).orderBy("pos").collect()
+    assert [(r.before, r.after) for r in windowed] == [(None, 5), (4, 6), (5, None)]
+    empty = st.id_documents(rows.limit(0), table)
+    assert st.token_rows(empty).count() == st.chain_rows(empty).count() == st.clause_rows(empty).count() == 0
+
+
+def test_chains_against_a_loop(spark):
+    rng = random.Random(3)
+    items = [[(rng.randrange(3) + j // 4, rng.randrange(6)) for j in range(rng.randrange(40))] for _ in range(30)]
+    items = [sorted(x, key=lambda t: t[0]) for x in items if x]
+    for reset in (False, True):
+        for cap in (None, 1, 2, 3):
+            want = []
+            for d, x in enumerate(items):
+                chains = []
+                for j, (c, i) in enumerate(x):
+                    if not j or i <= x[j - 1][1] or (reset and c != x[j - 1][0]):
+                        chains.append([])
+                    chains[-1].append(i)
+                if cap:
+                    cut = []
+                    for one in chains:
+                        n = -(-len(one) // cap)
+                        sizes = [len(one) // n + (k < len(one) % n) for k in range(n)]
+                        cut += [one[sum(sizes[:k]) : sum(sizes[: k + 1])] for k in range(n)]
+                    chains = cut
+                want += [(d, k, one, chains[k + 1][0] if k + 1 < len(chains) else None) for k, one in enumerate(chains)]
+            assert sorted(map(tuple, st.chain_rows(docs(spark, *items), reset_on_clause=reset, cap=cap).collect())) == want
+    examples = ch.sequence_examples(docs(spark, [(0, i) for i in (1, 3, 2, 4, 0, 5, 5)]), 2).orderBy("chunk").collect()
+    assert [(r.inputs, r.targets) for r in examples] == [([[1, 3], [2, 4]], [2, 0]), ([[0, 5]], [5])]
+    averages = ch.chain_averages(ch.chain_summary(ch.chain_histogram(st.chain_rows(docs(spark, [(0, 1), (0, 2), (0, 1)]))))).first()
+    assert (averages.avg_len, averages.len1_fraction) == (1.5, 0.5)

@@ -1,6 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
-from test_operators import ids
+from test_operators import docs
 
 from corpusloom.functions import tasks
 from corpusloom.operators import records as rec
@@ -8,7 +8,7 @@ from corpusloom.operators import vocabulary as vo
 
 
 def test_phrase_pairs_and_legacy_records(spark):
-    pair = rec.phrase_pairs(ids(spark, [(0, 0), (0, 1), (1, 2)])).first()
+    pair = rec.phrase_pairs(docs(spark, [(0, 0), (0, 1), (1, 2)])).first()
     assert (pair.single, pair.packed, pair.target) == (1, [0, 1], 2)
     legacy = spark.createDataFrame([(0, None, [0, 1], None), (1, None, [2], None), (2, None, [3, 3], None), (3, "single", [7], 0)], "phrase_id long, record_type string, indices array<long>, token_pos long")
     found = sorted((r.phrase_id, r.record_type, r.indices) for r in rec.normalized(legacy).collect())
@@ -23,16 +23,15 @@ def test_first_record_wins(spark):
 
 
 def test_context_steps(spark):
-    found = {r.pos: r.ctx for r in rec.context_steps(ids(spark, [(0, i) for i in (1, 3, 2, 4, 0, 5)]), 2, 2).collect()}
+    found = {r.pos: r.ctx for r in rec.context_steps(docs(spark, [(0, i) for i in (1, 3, 2, 4, 0, 5)]), 2, 2).collect()}
     assert found == {1: "1", 2: "1|3", 3: "1|3|2", 4: "1 3|2|4", 5: "1 3|2|4|0"}
 
 
 def test_hybrid_split(spark):
-    one = ids(spark, [(0, i) for i in range(12)])
-    splits = spark.createDataFrame([(0, 10)], "doc_id long, split long")
-    found = rec.hybrid_steps(one, splits, 9).orderBy("step").collect()
+    one = docs(spark, [(0, i) for i in range(12)])
+    found = rec.hybrid_steps(one.withColumn("split", F.lit(10)), 9).orderBy("step").collect()
     assert [(r.input, r.target) for r in found] == [([0, 1, 2, 3, 4], 5), ([5, 6, 7, 8, 9], 10), ([10], 11)]
-    points = rec.split_points(ids(spark, [(0, 1), (0, 2), (1, 3)]), 7).first()
+    points = rec.split_points(docs(spark, [(0, 1), (0, 2), (1, 3)]), 7).first()
     assert points.split in (0, 2, 3)
 
 
@@ -82,7 +81,7 @@ def test_spans(spark):
 
 
 def test_modes_and_checks(spark):
-    one = ids(spark, [(0, 1), (0, 3), (1, 2), (1, 4)])
+    one = docs(spark, [(0, 1), (0, 3), (1, 2), (1, 4)])
     assert rec.steps(one, "token").count() == 3 and rec.steps(one, "cross_phrase").count() == 1
     with pytest.raises(ValueError):
         rec.steps(one, "none")

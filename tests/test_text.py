@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ def clauses(spark, text):
         ("Naïve Zürich", [(0, "naïve"), (0, "zürich")]),
         ("don’t stop", [(0, "don't"), (0, "stop")]),
         ("δοκιμή", [(0, "δοκιμή")]),
+        ("„ja”", [(0, '"'), (1, "ja"), (1, '"_close')]),
+        ("café o’clock", [(0, "café"), (0, "o'clock")]),
         ("a_b", [(0, "a"), (0, "_"), (0, "b")]),
     ],
 )
@@ -43,25 +48,74 @@ def test_nfc_and_repair(spark):
     assert broken
 
 
-def lex(text, **options):
-    return [(t["clause"], t["tok"]) for t in code.lexer(**options)(text)]
+def lex(text, split_names=False):
+    tokens, lines = code.lexemes(text or "", split_names)
+    return list(zip(code.clause_numbers(tokens, lines).tolist(), tokens, strict=True))
 
 
 def test_code():
-    assert lex("const x = 1;\nreturn x;") == [(0, t) for t in "const x = 1 ;".split()] + [(1, t) for t in "return x ;".split()]
-    assert [t for _, t in lex('x = "hello world";')] == ["x", "=", "<str>", ";"]
-    assert [t for _, t in lex("const re = /ab+c/;")] == ["const", "re", "=", "<str>", ";"]
-    assert [t for _, t in lex("a === b => c")] == ["a", "===", "b", "=>", "c"]
-    assert [t for _, t in lex("let userName = 2;", split_names=True)] == ["let", "user", "name", "=", "2", ";"]
-    assert [t for _, t in lex("a / b / c // d\n/* e */ return /x/g")] == ["a", "/", "b", "/", "c", "return", "<str>"]
+    assert lex("const n = 1;\nreturn n;") == [(0, t) for t in "const n = 1 ;".split()] + [(1, t) for t in "return n ;".split()]
+    words = lambda text, **o: " ".join(t for _, t in lex(text, **o))
+    assert words('s = "one two";') == words("s = /on+e/;") == words("s = /a[/]b/gi;") == words("s = /a\\/b/;") == "s = <str> ;"
+    assert words("p !== q => r") == "p !== q => r" and words("if (p) { q }") == "if ( p ) { q }"
+    assert words("let lineCount = 2;", split_names=True) == "let line count = 2 ;"
+    assert words("a / b / c // d\n/* e */ return /x/g") == "a / b / c return <str>"
+    assert words("f(x) / 2 / /y/ / 3") == "f ( x ) / 2 / <str> / 3" and words("/^x/.test(s)") == "<str> . test ( s )"
     assert lex("a +\nb\nc") == [(0, "a"), (0, "+"), (0, "b"), (1, "c")]
     assert lex(None) == lex("") == []
 
 
+def one_by_one(text, split_names):
+    """The same by a plain machine that takes one token after the other and remembers the last."""
+    out, last, value, due, clause, at = [], None, False, False, 0, 0
+    while at < len(text):
+        rest = text[at:]
+        if found := re.match(code.COMMENT + r"|[^\S\n]+", rest):
+            at += found.end()
+            continue
+        if rest[0] == "\n":
+            due = due or (last is not None and last not in [*code.LONG_OPERATORS, *code.SHORT_OPERATORS, *code.OPENING_BRACKETS])
+            at += 1
+            continue
+        number, name = re.compile(code.NUMBER).match(text, at), re.match(code.NAME, rest)
+        if found := re.match(code.STRING, rest) or (None if value else re.match(code.PATTERN, rest)):
+            size, tokens, value = found.end(), [code.LITERAL], True
+        elif number:
+            size, tokens, value = len(number[0]), [number[0]], True
+        elif name:
+            size, tokens = name.end(), code.name_parts(name[0]) if split_names else [name[0].lower()]
+            value = tokens[-1] not in code.WORDS_BEFORE_VALUES
+        else:
+            sign = next((x for x in code.LONG_OPERATORS if rest.startswith(x)), rest[0])
+            size, tokens, value = len(sign), [sign], sign in (")", "]")
+        for token in tokens:
+            clause, due = clause + due, False
+            out.append((clause, token))
+        last, at = tokens[-1], at + size
+        due = last in code.CLAUSE_ENDS
+    return out
+
+
+def test_code_against_one_token_after_the_other():
+    rng = random.Random(1)
+    bits = ["a", "b1", "return", "my_return", "fooBar", " ", " ", "\n", "\n", "/", "/", "/x/g", "// c\n", "/* a\nb */", "'s'", '"t', "`q`", "1", "2.5", "1abc", "(", ")", "[", "]", "{", "}", ";", "+", "===", ".", "é", "\\", "@", "/[a/b]/", "'", "*"]
+    for _ in range(6000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 14)))
+        for split_names in (False, True):
+            assert lex(text, split_names) == one_by_one(text, split_names), text
+
+
+def test_code_column(spark):
+    df = spark.createDataFrame([("x = 1\ny",), (None,), ("",)], "t string").select(code.code_tokens(F.col("t")).alias("c"))
+    assert [[tuple(x) for x in r.c] for r in df.collect()] == [[(0, 0, 3, "x"), (0, 1, 3, "="), (0, 2, 3, "1"), (1, 0, 1, "y")], [], []]
+
+
 def test_names(spark):
-    df = spark.createDataFrame([(n,) for n in ("userName", "HTTPServer2", "snake_case", "été", "__")], "n string")
+    names = ["userName", "HTTPServer2", "snake_case", "LOUD_NAME", "ABC2d", "x2Y", "été", "__", ""]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
     found = [r[0] for r in df.select(tx.identifier_parts(F.col("n"))).collect()]
-    assert found == [code.name_parts(n) for n in ("userName", "HTTPServer2", "snake_case", "été", "__")]
+    assert found == [code.name_parts(n) for n in names]
+    assert found[:5] == [["user", "name"], ["http", "server2"], ["snake", "case"], ["loud", "name"], ["abc", "2d"]]
 
 
 def test_minified(spark):

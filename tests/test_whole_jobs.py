@@ -1,17 +1,16 @@
 """Registered queries work on all of their input, not on a leading part of it."""
 
-from corpusloom.llm.common import new_path
 from corpusloom.operators import ordering
 from corpusloom.operators import vocabulary as vo
 from corpusloom.plans import corpus
 from corpusloom.plans.catalog import QUERIES
 
 
-def test_vocabulary_learns_from_late_documents(spark):
+def test_vocabulary_learns_from_late_documents(spark, tmp_path):
     """Beyond two million characters and a thousand tokens."""
     early = [(i, " word" * 2000) for i in range(220)]
     late = [(1000 + i, f" zebracrossing{'abcdefghij'[i % 10]}" * 50) for i in range(20)]
-    root = new_path(spark, "tables")
+    root = str(tmp_path)
     spark.createDataFrame(early + late, "doc_id long, text string").write.parquet(f"{root}/documents.parquet")
     tokens = {r.token for r in QUERIES["bpe_vocabulary"](spark, root).collect()}
     assert " word" in tokens and " zebracrossinga" in tokens
