@@ -1,21 +1,31 @@
 """HTML extraction: page differencing between pages whose URLs are nearest within a host.
 
 A page becomes text lines, one for each block, with white space folded and character references decoded.
-Pages are sorted by host and URL path over all machines; each is paired with its nearest neighbour of the
-same host that isn't a copy of it: the page before or after it (and its copies) with which its path shares more
-leading segments, the one before if they are equal. The ends of each range of pages are known to the ranges next
-to it, so how the pages are dealt out doesn't matter. The two line lists are aligned by their longest common subsequence, and
-lines that both pages share are template: they are deleted.
-
-Two things differencing alone gets wrong are decided by markup. Lines inside the article (``article``,
-``main``) are never deleted for being shared, since neighbours do quote the same passages; and lines inside
-elements that are never main text (menus, headers, footers, sidebars, notices, adverts, forms, comments,
-scripts, styles) go even where no neighbour has them. Where a page has an article, lines outside it go too.
+Pages are sorted by host and URL path over all machines; each has the page before and the page after it (and its
+copies) in its host as neighbours. The nearest is the one with which its path shares more leading segments, the one
+before if they are equal. Line lists are aligned by their longest common subsequence, and lines that a page shares
+with its nearest neighbour are template: they are deleted. A line of ``LONG`` words or more may be a passage that
+both pages quote, so it must be shared with the other neighbour too, where there is one. Where that would delete
+every line, the neighbour is a variant of the same page, and nothing is deleted. Ranges' ends are known to the
+ranges next to them, so how the pages are dealt out doesn't matter.
+
+Differencing alone deletes passages that neighbouring articles share and keeps menus that no neighbour repeats.
+Hence markup is heard first:
+
+* Elements that are never main text (menus, footers, sidebars, controls, headers outside an article, scripts, styles)
+  go.
+* Class, id and role words are weak marks: what they mark goes unless nothing else is left, so no class word can
+  empty a page. They don't count on ``html``, ``body``, ``main`` and ``article``, nor beside a word that names the
+  content. Forms and reader comments are weak marks that an article inside them doesn't lift.
+* Where a page says what its article is (``article``, ``main``, ``role=main``), that is its text, whole, and lines
+  outside it go; such pages aren't aligned. On all others differencing decides.
 
 Defined results: a null or empty page has an empty text; a null URL counts as a host and path of its own; a
-page without neighbour loses what its markup says; equal rows get equal results; other columns play no part.
+page without neighbour loses what its markup says; equal rows get equal results; a tag that holds a ``<`` is text;
+other columns play no part.
 """
 
+import bisect
 import json
 import re
 import zlib
@@ -33,42 +43,58 @@ from corpusloom.llm.common import checkpointed
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
-NEVER = frozenset("nav footer aside form head button select svg object canvas audio video menu dialog".split())
+NEVER = frozenset("nav footer aside head button select svg object canvas audio video menu dialog".split())
 ARTICLE = frozenset("article main".split())
+UNMARKED = frozenset("html body article main".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo promoted promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social comment comments reply replies disqus "
+    "footer cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social "
     "related recommended widget copyright masthead toolbar pagination pager search skip complementary contentinfo".split()
 )
-MARK_BEGINNINGS = ("comment", "advert", "sidebar", "cookie", "newsletter", "sponsor", "breadcrumb", "navbar")
-CONTENT, TEMPLATE, OPEN = "c", "t", "o"
-
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+MARK_BEGINNINGS = ("advert", "sidebar", "cookie", "newsletter", "sponsor", "breadcrumb", "navbar")
+COMMENT_MARKS = frozenset("comment comments commentlist commentform commentbox commentarea commentsection reply replies disqus respond".split())
+CONTENT_NAMES = frozenset("content main-content article article-body article-content post post-body post-content entry entry-content story story-body body-content page-content maincontent".split())
+#: How little a line counts as main text: not marked, marked by a word, by a form or as a comment, never. OPEN is added outside an article.
+PLAIN, WEAK, STICKY, STRONG, OPEN = 0, 1, 2, 3, 4
+#: Words of a line that one neighbour alone can't make template.
+LONG = 15
+
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _MARK = re.compile(r"(?:\s|^)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I | re.S)
 _HIDDEN = re.compile(r"(?:\s|^)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*display\s*:\s*none|'[^']*display\s*:\s*none))", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
+#: Elements that end an open one of the same kind, and where that kind's search for it ends.
+_ENDS_OWN = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
-def _role(name: str, attributes: str, in_article: bool) -> str | None:
-    """What an element makes of its content; None: nothing of its own."""
-    if name in NEVER or (name == "header" and not in_article):
-        return TEMPLATE
+def _zone(name: str, attributes: str, zone: int) -> int:
+    """The zone inside an element that begins in ``zone``."""
+    mark, outside = zone & 3, zone & OPEN
+    if name in NEVER or (name == "header" and outside):
+        return STRONG | outside
+    own, main = STICKY if name == "form" else PLAIN, name in ARTICLE
     if "=" in attributes or "hidden" in attributes:
-        words = set()
-        for m in _MARK.finditer(attributes):
-            words.update(_PARTS.split((m[2] or m[3] or m[4] or "").lower()))
-        if not MARKS.isdisjoint(words) or any(w.startswith(MARK_BEGINNINGS) for w in words) or ("header" in words and not in_article) or _HIDDEN.search(attributes):
-            return TEMPLATE
-        if "main" in words and "role" in attributes.lower() and name not in ARTICLE:
-            return CONTENT
-    return CONTENT if name in ARTICLE else None
-
-
-def lines_of(html: str | None) -> list[tuple[str, str]]:
-    """(zone, line) of each block with text: content, template, or open where the markup doesn't say."""
+        names = {x for m in _MARK.finditer(attributes) for x in (m[2] or m[3] or m[4] or "").lower().split()}
+        words = {w for x in names for w in _PARTS.split(x)}
+        main = main or ("main" in names and "role" in attributes.lower())
+        if not COMMENT_MARKS.isdisjoint(words):
+            own = STICKY
+        elif not MARKS.isdisjoint(words) or any(w.startswith(MARK_BEGINNINGS) for w in words) or ("header" in words and outside) or _HIDDEN.search(attributes):
+            own = max(own, WEAK)
+        if own and name != "form" and (not CONTENT_NAMES.isdisjoint(names) or (name in UNMARKED and mark != STICKY)):
+            own = PLAIN
+    if main and not own and mark < STICKY:
+        return PLAIN  # an article inside a weakly marked element
+    if main:
+        outside = 0
+    return max(mark, own) | outside
+
+
+def lines_of(html: str | None) -> list[tuple[int, str]]:
+    """(zone, line) of each block with text: PLAIN, WEAK, STICKY or STRONG, with OPEN outside an article."""
     html = html or ""
-    lines: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []  # open elements and the zone inside each
+    lines: list[tuple[int, str]] = []
+    stack: list[tuple[str, int]] = []  # open elements and the zone inside each
     zone, held, at = OPEN, [], 0
 
     def close_block() -> None:
@@ -81,6 +107,24 @@ def lines_of(html: str | None) -> list[tuple[str, str]]:
         if text:
             held.append(unescape(text) if "&" in text else text)
 
+    def leave(i: int) -> None:
+        """The open elements from the i-th on end."""
+        nonlocal zone
+        if any(s[0] in BLOCKS for s in stack[i:]) or zone != (stack[i - 1][1] if i else OPEN):
+            close_block()
+        del stack[i:]
+        zone = stack[-1][1] if stack else OPEN
+
+    def implied(name: str) -> None:
+        """A block ends an open p; an item, cell or row an open one of its list or table."""
+        ends, until = (name, _ENDS_OWN[name]) if name in _ENDS_OWN else ("p", ("button", "td", "th", "caption"))
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in until:
+                break
+            if stack[i][0] == ends:
+                leave(i)
+                break
+
     while m := _TOKEN.search(html, at):
         put(html[at : m.start()])
         at = m.end()
@@ -99,30 +143,27 @@ def lines_of(html: str | None) -> list[tuple[str, str]]:
         elif m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    if name in BLOCKS or any(s[0] in BLOCKS for s in stack[i:]):
+                    if name in BLOCKS:
                         close_block()
-                    elif stack[i][1] != (stack[i - 1][1] if i else OPEN):
-                        close_block()
-                    del stack[i:]
-                    zone = stack[-1][1] if stack else OPEN
+                    leave(i)
                     break
             else:
                 if name in BLOCKS:
                     close_block()
         else:
-            role = _role(name, m[3], zone == CONTENT) if zone != TEMPLATE else None
-            inside = role or zone
-            if name in BLOCKS or inside != zone:
+            if name in BLOCKS:
+                close_block()
+                implied(name)
+            inside = _zone(name, m[3], zone)
+            if inside != zone:
                 close_block()
-            if name not in VOID and not m[3].endswith("/") and name not in ("p", "b", "i", "em", "strong", "a", "u", "small", "font", "li") or inside != zone:
-                if name not in VOID:
-                    stack.append((name, inside))
-                    zone = inside
+            plain = name in ("p", "b", "i", "em", "strong", "a", "u", "small", "font", "li") or m[3].endswith("/")
+            if name not in VOID and (inside != zone or not plain):
+                stack.append((name, inside))
+                zone = inside
     else:
         put(html[at:])
     close_block()
-    if any(z == CONTENT for z, _ in lines):  # the page says where its article is
-        return [(CONTENT if z == CONTENT else TEMPLATE, x) for z, x in lines]
     return lines
 
 
@@ -193,10 +234,20 @@ def shared(a: list, b: list, most_bits: int = ALIGN_BITS) -> list[bool]:
     return out
 
 
-def main_text(lines: list[tuple[str, str]], neighbour: list[tuple[str, str]] | None) -> str:
-    """The lines that stay: content, and open lines that the neighbour doesn't share."""
-    common = shared([x for _, x in lines], [x for _, x in neighbour]) if neighbour else [False] * len(lines)
-    return "\n".join(x for (z, x), both in zip(lines, common, strict=True) if z == CONTENT or (z == OPEN and not both))
+def main_text(lines: list[tuple[int, str]], near: list[tuple[int, str]] | None = None, other: list[tuple[int, str]] | None = None) -> str:
+    """The article's lines; without one, open lines that aren't template by the nearest neighbour and the other one."""
+    for level in (PLAIN, WEAK, STICKY):
+        if kept := [x for z, x in lines if z == level]:
+            return "\n".join(kept)
+    for level in (PLAIN, WEAK, STICKY):
+        if any(z == level | OPEN for z, _ in lines):
+            break
+    else:
+        return ""
+    texts = [x for _, x in lines]
+    by_near, by_other = (shared(texts, [x for _, x in n]) if n else None for n in (near, other))
+    own = [(x, by_near is not None and by_near[i] and (by_other is None or by_other[i] or x.count(" ") + 1 < LONG)) for i, (z, x) in enumerate(lines) if z == level | OPEN]
+    return "\n".join([x for x, template in own if not template] or [x for x, _ in own])
 
 
 _RUNS = pa.list_(pa.struct([("path", pa.string()), ("lines", pa.binary())]))
@@ -223,6 +274,11 @@ def common_segments(a: str, b: str) -> int:
     return n
 
 
+def _order(host: str, path: str, page_id) -> tuple:
+    """What compares as Spark sorts these columns: null first."""
+    return host, path, page_id is not None, 0 if page_id is None else page_id
+
+
 def beyond(ends: list) -> dict[int, tuple]:
     """By partition, the nearest run before its first and after its last, as (path, lines), in other partitions.
 
@@ -247,22 +303,35 @@ def beyond(ends: list) -> dict[int, tuple]:
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url and text of every page.
 
-    Lines travel compressed, and pages are dealt out by ranges of host and path, so a host of any size is
-    spread over tasks. The sorted pages are written to the shared folder and read twice: for the two runs at each
-    end of a partition, of which one a side goes to its neighbours, and for differencing. A task walks its pages
-    in order and holds three line lists, and of the pages of a run the keys and paths.
+    Pages are dealt out by ranges of host, path and id, so a host of any size is spread over tasks; the ranges come
+    from the URLs alone, so each page is parsed once. Lines travel compressed. The sorted pages are written to the
+    shared folder and read twice: for the two runs at each end of a partition, of which one a side goes to its
+    neighbours, and for differencing. A task walks its pages in order and holds three line lists, and of the pages
+    of a run the keys and paths.
     """
+    spark = pages.sparkSession
     kind = pages.schema[page_id].dataType
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     described = T.StructType([T.StructField("page_id", kind), *[T.StructField(n, T.StringType()) for n in ("url", "host", "path")], T.StructField("lines", T.BinaryType())])
     result = T.StructType([T.StructField("page_id", kind), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [host_and_path(u) for u in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([p[i] for p in places], pa.string()) for i in (0, 1))], names=["page_id", "host", "path"])
+
+    keys = rows.select("page_id", "url").mapInArrow(place, T.StructType([described[0], *described[2:4]]))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    firsts = keys.repartitionByRange(n, "host", "path", "page_id").groupBy(F.spark_partition_id()).agg(F.min(F.struct("host", "path", "page_id")).alias("k"))
+    bounds = spark.sparkContext.broadcast(sorted(_order(*r.k) for r in firsts.collect()))  # one a partition
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            urls = batch.column(1).to_pylist()
+            ids, urls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             places = [host_and_path(u) for u in urls]
+            parts = [max(0, bisect.bisect_right(bounds.value, _order(*p, i)) - 1) for i, p in zip(ids, places, strict=True)]
             lines = [zlib.compress(json.dumps(lines_of(h.as_py()), ensure_ascii=False).encode("utf-8", "replace"), 3) for h in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p[0] for p in places], pa.string()), pa.array([p[1] for p in places], pa.string()), pa.array(lines, pa.binary())], names=described.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p[0] for p in places], pa.string()), pa.array([p[1] for p in places], pa.string()), pa.array(lines, pa.binary()), pa.array(parts, pa.int32())], names=[*described.names, "range"])
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = first = host = None
@@ -303,8 +372,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             for key, link, path in waiting:
                 late = following is not None and (before is None or common_segments(path, following[0]) > common_segments(path, before[0]))
                 if late not in texts:
-                    chosen = following if late else before
-                    texts[late] = main_text(lines, chosen and chosen[1])
+                    near, other = (following, before) if late else (before, following)
+                    texts[late] = main_text(lines, near and near[1], other and other[1])
                 out.append((key, link, texts[late]))
                 size += len(texts[late])
                 if len(out) >= 2000 or size > 4 << 20:
@@ -330,8 +399,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         if out:
             yield packed()
 
-    placed = rows.mapInArrow(describe, described).repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    parsed = rows.mapInArrow(describe, T.StructType([*described.fields, T.StructField("range", T.IntegerType())]))
+    placed = parsed.repartitionById(n, F.col("range")).drop("range").sortWithinPartitions("host", "path", "page_id")
     placed = checkpointed(placed).withColumn("part", F.spark_partition_id())
     found = placed.mapInArrow(ends, "part int, first string, last string, head array<struct<path:string,lines:binary>>, tail array<struct<path:string,lines:binary>>").collect()
-    edges = pages.sparkSession.sparkContext.broadcast(beyond(sorted(((r.part, r["first"], r["last"], [(x.path, bytes(x.lines)) for x in r.head], [(x.path, bytes(x.lines)) for x in r.tail]) for r in found), key=lambda r: r[0])))
+    edges = spark.sparkContext.broadcast(beyond(sorted(((r.part, r["first"], r["last"], [(x.path, bytes(x.lines)) for x in r.head], [(x.path, bytes(x.lines)) for x in r.tail]) for r in found), key=lambda r: r[0])))
     return placed.mapInArrow(difference, result)
