@@ -4,7 +4,9 @@ Two fingerprints that differ in at most 2 of 64 bits differ in at most 1 bit in
 Each half is indexed under its 32 one-wildcard variants (one bit left out), so halves at distance 0 or 1 meet
 in an equality join. Every meeting is verified by the full distance and reported once. A bucket of over
 ``DENSE`` fingerprints isn't joined on its own key: its other half, which differs in at most 2 bits, is cut
-in three, of which one part is equal, and the part joins the key; nothing is lost and buckets get narrow.
+in three, of which one part is equal, and the part joins the key. What is still dense is narrowed again, ``LEVELS``
+times in all: the other half's equal bits then leave 10, so a key has at most 2^11 distinct fingerprints, whatever the
+corpus; nothing is lost.
 
 Only distinct fingerprints are indexed, so copies cost nothing; links go through alternating star
 contractions, each written to the shared folder, until components stand. Nothing is collected.
@@ -21,7 +23,7 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.common import checkpointed, free_name, row_udf
 
-SHINGLE, SEED, MOST_BITS, DENSE = 3, 42, 2, 64
+SHINGLE, SEED, MOST_BITS, DENSE, LEVELS = 3, 42, 2, 64, 3
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -67,26 +69,50 @@ def links(distinct: DataFrame, fp: str = "fp", dense: int = DENSE) -> DataFrame:
     bit = F.expr("shiftleft(1L, slot & 31)")
     half = _half("fp", side)
     keyed = slots.select("fp", (F.shiftleft(F.col("slot").cast("long"), 32) + half.bitwiseAND(F.bitwise_not(bit))).alias("key"))
-    met = checkpointed(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
-
-    def joined(rows: DataFrame, on: list[str]) -> DataFrame:
-        a, b = (rows.select(*on, F.col("fp").alias(x)) for x in ("u", "v"))
-        differ = F.col("u").bitwiseXOR(F.col("v"))
-        slot = F.shiftright("key", 32)
-        own = F.when(F.shiftright(slot, 5) == 0, differ.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(differ, 32))
-        # counted where the half's own differing bit is the wildcard, or under bit 0 if the half is equal
-        first_slot = F.when(own == 0, F.lit(0)).otherwise(F.bit_count(own - 1))
-        low = differ.bitwiseAND(F.lit(0xFFFFFFFF))
-        in_low = F.bit_count(low) <= 1  # then the pair is the low half's
-        report = (slot.bitwiseAND(F.lit(31)) == first_slot) & ((F.shiftright(slot, 5) == 0) | ~in_low)
-        return a.join(b, on).where((F.col("u") < F.col("v")) & (F.bit_count(differ) <= MOST_BITS) & report)
-
-    light = joined(met.where(F.col("n") <= dense).select("key", "fp"), ["key"]).select("u", "v")
-    other = _half("fp", F.lit(1) - F.shiftright("key", 37))
-    parts = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.shiftright(other, at).bitwiseAND(F.lit((1 << n) - 1)).alias("p")) for j, (at, n) in enumerate([(0, 11), (11, 11), (22, 10)])))).alias("part")
-    narrow = met.where(F.col("n") > dense).select("key", "fp", parts).select("key", "fp", "part.j", "part.p")
-    heavy = joined(narrow, ["key", "j", "p"]).select("u", "v").distinct()
-    return light.unionByName(heavy)
+    same = F.lit(0).cast("long")
+    met = _counted(keyed.select("key", F.lit(0).alias("path"), same.alias("same"), "fp"))
+    found = _meeting(met.where(F.col("n") <= dense))
+    for level in range(LEVELS):
+        masks = F.array(*[F.array(*map(F.lit, parts)) for parts in narrowing(level)])
+        own = F.get(masks, F.col("path"))
+        wider = F.explode(F.transform(own, lambda m, j: F.struct((F.col("path") * 3 + j).alias("path"), m.alias("mask"))))
+        rows = met.where(F.col("n") > dense).select("key", "fp", wider.alias("w"))
+        met = _counted(rows.select("key", "w.path", _half("fp", F.lit(1) - F.shiftright("key", 37)).bitwiseAND(F.col("w.mask")).alias("same"), "fp"))
+        last = level == LEVELS - 1
+        found = found.unionByName(_meeting(met if last else met.where(F.col("n") <= dense)))
+    return found.distinct()
+
+
+def narrowing(level: int) -> list[list[int]]:
+    """For each path of so many choices, the masks of the other half's bits that are equal after one more choice."""
+    masks = [0]
+    for _ in range(level + 1):
+        parts = []
+        for mask in masks:
+            free = [b for b in range(32) if not mask >> b & 1]
+            cuts = [-(-len(free) * k // 3) for k in range(4)]
+            parts.append([mask | sum(1 << b for b in free[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)])
+        masks = [m for p in parts for m in p]
+    return parts
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """The rows of buckets (key, path, same) that hold several, with their number n."""
+    return checkpointed(rows.withColumn("n", F.count("*").over(Window.partitionBy("key", "path", "same"))).where("n > 1"))
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """u < v of a bucket that differ in at most ``MOST_BITS`` bits, under one of the keys that they share."""
+    on = ["key", "path", "same"]
+    a, b = (rows.select(*on, F.col("fp").alias(x)) for x in ("u", "v"))
+    differ = F.col("u").bitwiseXOR(F.col("v"))
+    slot = F.shiftright("key", 32)
+    own = F.when(F.shiftright(slot, 5) == 0, differ.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(differ, 32))
+    # counted where the half's own differing bit is the wildcard, or under bit 0 if the half is equal
+    first_slot = F.when(own == 0, F.lit(0)).otherwise(F.bit_count(own - 1))
+    in_low = F.bit_count(differ.bitwiseAND(F.lit(0xFFFFFFFF))) <= 1  # then the pair is the low half's
+    report = (slot.bitwiseAND(F.lit(31)) == first_slot) & ((F.shiftright(slot, 5) == 0) | ~in_low)
+    return a.join(b, on).where((F.col("u") < F.col("v")) & (F.bit_count(differ) <= MOST_BITS) & report).select("u", "v")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import xxhash
 from helpers import documents, rows_of, sentence
 
@@ -81,6 +82,25 @@ def test_links_lose_none_and_repeat_none(spark):
         assert sorted(tuple(r) for r in simhash.links(df, dense=dense).collect()) == wanted
 
 
+def test_one_key_with_very_many(spark):
+    """100,000 fingerprints with one low half, and half of them close together: narrowed, not joined with each other."""
+    rng = np.random.default_rng(3)
+    high = np.unique(np.concatenate([rng.integers(0, 1 << 32, 60_000, np.uint64), (np.uint64(0xABC) << np.uint64(20)) | rng.integers(0, 1 << 20, 40_000, np.uint64)]))
+    wanted = 0
+    for i, j in [(i, i) for i in range(32)] + list(itertools.combinations(range(32), 2)):
+        wanted += int(np.isin(high ^ np.uint64((1 << i) | (1 << j)), high, assume_unique=True).sum())
+    df = spark.createDataFrame([(signed((int(h) << 32) | 12345),) for h in high], "fp long")
+    assert simhash.links(df).count() == wanted // 2 > 1000
+
+
+def test_narrowing_leaves_few_bits():
+    for level in range(simhash.LEVELS):
+        for parts in simhash.narrowing(level):
+            free = [m ^ p for m, p in itertools.combinations(parts, 2)]
+            assert parts[0] | parts[1] | parts[2] == 0xFFFFFFFF and all(free)
+    assert max(32 - m.bit_count() for parts in simhash.narrowing(simhash.LEVELS - 1) for m in parts) <= 10
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 202), (202, 200)]
     found = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
