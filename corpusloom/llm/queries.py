@@ -122,11 +122,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_records(spark, path)
     kind = pages.schema["page_id"].dataType
     return records.select(
-        warc.page_of(F.col("record_id"), kind).alias("page_id"),
+        warc.page_of(F.col("page"), kind).alias("page_id"),
         "payload_bytes",
-        F.coalesce(F.sha1("payload"), F.col("payload_digest")).alias("payload_digest"),
+        F.when(F.col("intact"), F.col("payload_digest")).alias("payload_digest"),  # of responses, read_records has compared it with the payload
         "record_type",
-        warc.page_of(F.col("refers_to_id"), kind).alias("refers_to"),
+        warc.page_of(F.col("refers_to_page"), kind).alias("refers_to"),
     )
 
 
