@@ -100,12 +100,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence families found in every document."""
-    found = table(spark, sf_dir, "documents").select("doc_id", licenses.license_paragraphs(F.col("text"), licenses.trained()).alias("p"))
+    found = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", licenses.license_paragraphs(F.col("text"), licenses.trained()).alias("p"))
     sure = F.filter("p", lambda x: (x["family"] != licenses.UNKNOWN) & x["confirmed"])
     families = F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"])))
     return found.select(
         "doc_id",
-        F.size("p").cast("long").alias("n_cued"),
+        F.size("p").cast("long").alias("n_candidates"),
         F.size(sure).cast("long").alias("n_confirmed"),
         F.array_join(families, ",").alias("families"),
         F.array_join(F.transform(sure, lambda x: x["n"].cast("string")), ",").alias("lines"),
