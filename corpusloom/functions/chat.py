@@ -50,6 +50,18 @@ def completion_prompt(messages: Column) -> Column:
     return F.when((F.size(messages) > 0) & (F.element_at(messages, -1)["role"] == "assistant"), F.concat(rendered(own), F.lit("<|assistant_start|>")))
 
 
+ROLES = ("user", "assistant")
+#: Types of parts, and the name of the marks around them.
+MARKS = {"text": None, "python": "python", "python_output": "output"}
+#: Pieces that a task keeps the ids of, before it starts anew.
+MOST_KNOWN = 200_000
+
+
+def well_formed(messages: list[dict]) -> bool:
+    """Whether user and assistant take turns and every part has a known type and a text."""
+    return all(m is not None and m["role"] == ROLES[i % 2] and all(p is not None and p["type"] in MARKS and p["text"] is not None for p in m["parts"] or ()) for i, m in enumerate(messages))
+
+
 PART = T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())])
 RESULT = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("mask", T.ArrayType(T.IntegerType()))])
 
@@ -57,7 +69,8 @@ RESULT = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.Str
 def conversation_ids(messages: Column, model: Bpe, most: int = 2048, for_completion: bool = False) -> Column:
     """ids and mask of array<struct<role, parts: array<struct<type, text>>>>, cut to ``most``.
 
-    What the assistant is to learn has mask 1: its text, its tool calls with their marks, and the mark that
+    Null where roles don't take turns, a part's type is unknown or, for a completion, the last message isn't the
+    assistant's: one bad row doesn't end a job. What the assistant is to learn has mask 1: its text, its tool calls with their marks, and the mark that
     ends its turn. Tool output, other messages and all other marks have mask 0.
     """
     merges, specials = model.merges, model.specials
@@ -72,26 +85,26 @@ def conversation_ids(messages: Column, model: Bpe, most: int = 2048, for_complet
             out = []
             for p in split.findall(text):
                 if p not in known:
+                    if len(known) >= MOST_KNOWN:
+                        known.clear()
                     known[p] = own.piece(p.encode("utf-8", "replace"))
                 out += known[p]
             return out
 
         def one(messages: list[dict] | None) -> dict | None:
-            if messages is None:
+            if messages is None or not well_formed(messages):
                 return None
             if for_completion:
                 if not messages or messages[-1]["role"] != "assistant":
-                    raise ValueError("the last message isn't the assistant's")
+                    return None
                 messages = messages[:-1]
             spans = [([special["<|bos|>"]], 0)]
             for i, m in enumerate(messages):
-                role = ("user", "assistant")[i % 2]
-                if m["role"] != role:
-                    raise ValueError(f"message {i} is from {m['role']}, not {role}")
+                role = ROLES[i % 2]
                 learned = int(role == "assistant")
                 spans.append(([special[f"<|{role}_start|>"]], 0))
-                for part in m["parts"]:
-                    mark = {"text": None, "python": "python", "python_output": "output"}[part["type"]]
+                for part in m["parts"] or ():
+                    mark = MARKS[part["type"]]
                     taught = learned and mark != "output"
                     ids = encode(part["text"])
                     spans.append(([special[f"<|{mark}_start|>"], *ids, special[f"<|{mark}_end|>"]] if mark else ids, int(taught)))

@@ -168,6 +168,26 @@ def few_shot(examples: Column, final: Column, between: str = "\n\n") -> Column:
     return F.array_join(F.concat(examples, F.array(final)), between)
 
 
+def _shots(examples: Column, final: Column) -> Column:
+    """Each example and a blank line, then the final prompt."""
+    return F.concat(F.array_join(F.transform(examples, lambda e: F.concat(e, F.lit("\n\n"))), ""), final)
+
+
+def schema_prompts(contexts: Column, continuation: Column, delimiter: Column, examples: Column) -> Column:
+    """A prompt for each context, with the same continuation; examples are (contexts, gold, continuation)."""
+    shown = F.transform(examples, lambda e: F.concat(F.get(e["contexts"], e["gold"]), delimiter, e["continuation"]))
+    return F.transform(contexts, lambda c: _shots(shown, F.concat(c, delimiter, continuation)))
+
+
+def continuation_prompts(context: Column, continuation: Column, delimiter: Column, examples: Column) -> Column:
+    """The prompt without and with the continuation; contexts are trimmed, and the first one has no blanks at its end,
+    so that it is the beginning of the second. examples are (context, continuation)."""
+    blank = r"^\s+|\s+$"
+    shown = F.transform(examples, lambda e: F.concat(F.regexp_replace(e["context"], blank, ""), delimiter, e["continuation"]))
+    begun = F.concat(F.regexp_replace(context, blank, ""), delimiter)
+    return F.array(F.regexp_replace(_shots(shown, begun), r"\s+$", ""), _shots(shown, F.concat(begun, continuation)))
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """Entries that two arrays have in common from the start."""
     same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))

@@ -106,3 +106,18 @@ def stacked(rows: DataFrame, ids: str, value: int) -> DataFrame:
     """Lists filled at their end to the longest one's length."""
     longest = rows.agg(F.max(F.size(ids))).first()[0] or 0
     return rows.withColumn(ids, F.concat(ids, F.array_repeat(F.lit(value), F.lit(longest) - F.size(ids))))
+
+
+def training_rows(placed: DataFrame, items: DataFrame, key: str, item: str, capacity: int, filler: int, ids: str = "ids", mask: str = "mask") -> DataFrame:
+    """key, row, inputs, targets: the packed rows of ``capacity`` places, one more id than a step sees.
+
+    ``placed`` is what ``pack`` gives, ``items`` has the ids of each item and their masks. A row's end is filled with
+    ``filler``. Targets are -1 where the mask is 0 and in the filled part. A row is bounded, and so is its list of items.
+    """
+    cells = placed.join(items.select(item, ids, mask), item).select(key, "row", F.struct("slot", F.slice(ids, F.lit(1), F.col("used").cast("int")).alias("i"), F.slice(mask, F.lit(1), F.col("used").cast("int")).alias("m")).alias("c"))
+    rows = cells.groupBy(key, "row").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    flat = lambda n: F.flatten(F.transform("c", lambda x: x[n].cast("array<long>")))
+    room = F.lit(capacity) - F.size("i")
+    filled = rows.select(key, "row", flat("i").alias("i"), flat("m").alias("m")).select(key, "row", F.concat("i", F.array_repeat(F.lit(filler).cast("long"), room)).alias("i"), F.concat("m", F.array_repeat(F.lit(0).cast("long"), room)).alias("m"))
+    inputs, following = inputs_and_targets(F.col("i"), capacity - 1)
+    return filled.select(key, "row", inputs.alias("inputs"), F.zip_with(following, F.slice("m", 2, capacity - 1), lambda x, k: F.when(k != 0, x).otherwise(F.lit(-1).cast("long"))).alias("targets"))

@@ -31,6 +31,14 @@ def permutation(spark: SparkSession, n: int, seed: int) -> DataFrame:
     return spark.createDataFrame([(o, i) for i, o in enumerate(order)], "ordinal long, place long")
 
 
+def sample_files(files: DataFrame, name: str, fraction: float, seed: int) -> DataFrame:
+    """At least one file, and about so large a fraction of them (half a file rounds to even), as a Mersenne Twister draws
+    them from the sorted names. A row a file goes to the driver."""
+    names = sorted(r[0] for r in files.select(name).collect())
+    chosen = random.Random(seed).sample(names, max(1, round(len(names) * fraction))) if names else []
+    return files.join(F.broadcast(files.sparkSession.createDataFrame([(n,) for n in chosen], f"{name} string")), name, "left_semi")
+
+
 def split_train_val(rows: DataFrame, key: str, percent: int, seed: int) -> DataFrame:
     """Adds ``split``: the first max(1, n * percent / 100) rows of the seeded order are val."""
     cut = max(1, rows.count() * percent // 100)

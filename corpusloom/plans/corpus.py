@@ -348,16 +348,24 @@ def resume_anti_join(spark, sf):
 
 @query(
     "repackaged_shards",
-    """WITH r AS (SELECT doc_id, coalesce(length(text), 0) AS n FROM documents)
-    SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_chars, CAST(sum(n) AS BIGINT) // 250000 >= 0 AS ok FROM r""",
+    """WITH h AS (SELECT doc_id, coalesce(length(text), 0) AS n, md5(concat_ws(':', '42', CAST(doc_id AS VARCHAR))) AS h FROM documents),
+    r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM h)
+    SELECT CAST(run // 250000 AS BIGINT) AS shard, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_chars, min(doc_id) AS first_id, max(doc_id) AS last_id FROM r GROUP BY ALL""",
 )
 def repackaged_shards(spark, sf):
-    """Shards of 250,000 characters in a seeded order, summed up: every document is in one."""
+    """Shards of 250,000 characters in a seeded order."""
     from corpusloom.sources.tables import repackaged
 
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    shards = repackaged(docs, "doc_id", "text", 42, 250_000).groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("chars"))
-    return shards.agg(F.sum("n").alias("n_docs"), F.sum("chars").alias("n_chars"), (F.countDistinct("shard") == F.count("*")).alias("ok"))
+    size = F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("long")
+    return repackaged(docs, "doc_id", "text", 42, 250_000).groupBy("shard").agg(F.count("*").alias("n_docs"), size.alias("n_chars"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+
+
+@query("component_stats")
+def component_stats(spark, sf):
+    """One row: net edges, strongly connected components and the largest one's share of the ids that have edges."""
+    found = ordering.component_stats(pairs(spark, sf))
+    return spark.createDataFrame([tuple(found.values())], "net_edges long, components long, largest long, largest_share double, active long")
 
 
 @query("order_optimizer")

@@ -207,14 +207,42 @@ def compression_ratio(spark, sf):
 
 @query("pack_bestfit_crop")
 def pack_bestfit_crop(spark, sf):
-    docs = table(spark, sf, "documents").select("source", "doc_id", F.length("text").alias("n"))
-    return pk.pack(docs, "source", "doc_id", "n", "doc_id", 2049, 1000, crop=True)
+    """Documents in blocks of 1024 ids, so tasks grow with the corpus."""
+    docs = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 1024).alias("block"), "doc_id", F.length("text").alias("n"))
+    return pk.pack(docs, "block", "doc_id", "n", "doc_id", 2049, 1000, crop=True)
+
+
+def _packed_conversations(spark, sf):
+    convs = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("n"))
+    return pk.pack(convs.withColumn("block", F.floor(F.col("conv_id") / 256)), "block", "conv_id", "n", "conv_id", 2049, 100, crop=False)
 
 
 @query("pack_bestfit_pad")
 def pack_bestfit_pad(spark, sf):
-    convs = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("n"))
-    return pk.pack(convs.withColumn("part", F.col("conv_id") % 8), "part", "conv_id", "n", "conv_id", 2049, 100, crop=False)
+    return _packed_conversations(spark, sf)
+
+
+@query("training_rows")
+def training_rows(spark, sf):
+    """Packed conversations as inputs and targets: ids are characters, and the assistant's are learned."""
+    turn = F.struct("turn", F.transform(F.split(F.coalesce("text", F.lit("")), ""), lambda c: F.ascii(c)).alias("i"), (F.col("role") == "assistant").cast("int").alias("k"))
+    convs = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    ids = F.flatten(F.transform("t", lambda x: F.filter(x["i"], lambda c: c > 0)))
+    mask = F.flatten(F.transform("t", lambda x: F.transform(F.filter(x["i"], lambda c: c > 0), lambda _: x["k"])))
+    rows = pk.training_rows(_packed_conversations(spark, sf), convs.select("conv_id", ids.alias("ids"), mask.alias("mask")), "block", "conv_id", 2049, 0)
+    return rows.select("block", "row", F.size("inputs").alias("n_inputs"), F.size(F.filter("targets", lambda x: x >= 0)).alias("n_learned"))
+
+
+@query(
+    "schema_prompts",
+    """SELECT item_id, 'so' || ': ' || 'it' || chr(10) || chr(10) || left(text, 12) || ': ' || right(text, 9) AS first, 'so' || ': ' || 'it' || chr(10) || chr(10) || left(text, 20) || ': ' || right(text, 9) AS second FROM benchmark""",
+)
+def schema_prompts(spark, sf):
+    """Two contexts of an item with one continuation, after an example."""
+    example = F.array(F.struct(F.array(F.lit("no"), F.lit("so")).alias("contexts"), F.lit(1).alias("gold"), F.lit("it").alias("continuation")))
+    contexts = F.array(F.left("text", F.lit(12)), F.left("text", F.lit(20)))
+    made = table(spark, sf, "benchmark").select("item_id", tx.schema_prompts(contexts, F.right("text", F.lit(9)), F.lit(": "), example).alias("p"))
+    return made.select("item_id", F.get("p", F.lit(0)).alias("first"), F.get("p", F.lit(1)).alias("second"))
 
 
 # ---------------------------------------------------------------- conversations
@@ -456,9 +484,9 @@ def inference_report(spark, sf):
     return out.select("grp", F.round("tpot", 9).alias("tpot"), F.round("tok_s", 9).alias("tok_s"))
 
 
-@query("mc_argmin", "WITH x AS (SELECT vec_id, unnest(embedding[1:4]) AS v, generate_subscripts(embedding[1:4], 1) - 1 AS i FROM embeddings) SELECT vec_id, arg_min(i, (v, i)) AS predicted FROM x GROUP BY vec_id")
+@query("mc_argmin", "WITH x AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) SELECT vec_id, arg_min(i, (v, i)) AS predicted FROM x GROUP BY vec_id")
 def mc_argmin(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("i", "loss"))
+    rows = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "loss"))
     return ev.multiple_choice_answer(rows.withColumn("i", F.col("i").cast("long")), ["vec_id"], "i", "loss")
 
 

@@ -47,16 +47,28 @@ def strided(rows: DataFrame, ordinal: str, start: int, step: int) -> DataFrame:
     return rows.where((F.col(ordinal) >= start) & ((F.col(ordinal) - start) % step == 0))
 
 
+def _numbered_lines(rows: DataFrame, name: str, within: list[str]) -> DataFrame:
+    """Rows with file, block and at, numbered from 0 in file order, or within each file.
+
+    They are numbered within each block of a file, then moved up by the blocks before it: a row a block is all that
+    one task sees.
+    """
+    earlier = Window.partitionBy(*within).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    return rows.withColumn("inside", inside).join(blocks, ["file", "block"]).withColumn(name, F.col("before") + F.col("inside")).drop("before", "inside")
+
+
+def _lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """value, file, block and at of a text file's lines."""
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    return reader.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+
+
 def stories(spark: SparkSession, path: str, separator: str = "<|endoftext|>") -> DataFrame:
     """Stories between separators: story_id counts non-empty stories in file order, text is trimmed."""
-    place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
-    rows = spark.read.option("lineSep", separator).text(path).select("value", *place)
-    rows = rows.select("file", "block", "at", F.regexp_replace("value", r"^\s+|\s+$", "").alias("text")).where("text <> ''")
-    # numbered within each block of a file, then moved up by the blocks before it: a row a block is all that one task sees
-    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", before.alias("before"))
-    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
-    return rows.withColumn("inside", inside).join(blocks, ["file", "block"]).select((F.col("before") + F.col("inside")).alias("story_id"), "text")
+    rows = _lines(spark, path, separator).withColumn("text", F.regexp_replace("value", r"^\s+|\s+$", "")).where("text <> ''")
+    return _numbered_lines(rows, "story_id", []).select("story_id", "text")
 
 
 def archive_stories(spark: SparkSession, path: str, column: str = "text", limit: int | None = None) -> DataFrame:
@@ -115,8 +127,7 @@ def json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
 
 def code_files(spark: SparkSession, path: str, minified: Column | None = None) -> DataFrame:
     """``content`` of JSON lines with the file's name and the line's number in it; empty content is skipped."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    numbered = rows.withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) - 1)
+    numbered = _numbered_lines(_lines(spark, path), "line_no", ["file"])
     parsed = numbered.select("file", "line_no", F.get_json_object("value", "$.content").alias("content")).where("content <> ''")
     return parsed if minified is None else parsed.where(~minified)
 
@@ -166,14 +177,14 @@ def missing(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def repackaged(docs: DataFrame, doc_id: str, text: str, seed: int, chars_per_shard: int) -> DataFrame:
-    """Rows in a seeded order with ``shard``: a shard ends with the row whose characters fill it.
+    """Rows in a seeded order (md5 of seed and id) with ``shard``: a shard ends with the row whose characters fill it.
 
     The running sum is taken in hash buckets and then over the buckets' totals, so no task holds all rows.
     """
-    size = F.length(text).cast("long")
-    rows = docs.withColumn("_h", F.xxhash64(F.col(doc_id), F.lit(seed))).withColumn("_bucket", F.shiftrightunsigned("_h", 52))
+    size = F.coalesce(F.length(text), F.lit(0)).cast("long")
+    rows = docs.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(doc_id).cast("string")).cast("binary"))).withColumn("_bucket", F.left("_h", F.lit(3)))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("_bucket").agg(F.sum(size).alias("_chars")).select("_bucket", F.coalesce(F.sum("_chars").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_bucket").orderBy(F.shiftrightunsigned("_h", 1), doc_id).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_bucket").orderBy("_h", doc_id).rowsBetween(Window.unboundedPreceding, -1)
     running = F.col("_before") + F.coalesce(F.sum(size).over(inside), F.lit(0))
     return rows.join(totals, "_bucket").withColumn("shard", F.floor(running / chars_per_shard)).drop("_h", "_bucket", "_before")

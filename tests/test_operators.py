@@ -212,3 +212,36 @@ def test_chains_against_a_loop(spark):
     assert [(r.inputs, r.targets) for r in examples] == [([[1, 3], [2, 4]], [2, 0]), ([[0, 5]], [5])]
     averages = ch.chain_averages(ch.chain_summary(ch.chain_histogram(st.chain_rows(docs(spark, [(0, 1), (0, 2), (0, 1)]))))).first()
     assert (averages.avg_len, averages.len1_fraction) == (1.5, 0.5)
+
+
+def test_training_rows(spark):
+    """Filled ends and what the mask leaves out are -1; an item that is cut keeps its first ids."""
+    items = spark.createDataFrame([("a", [1, 2, 3], [0, 1, 1]), ("b", [4, 5], [0, 1]), ("c", [6, 7, 8, 9, 10, 11, 12], [1] * 7)], "item string, ids array<int>, mask array<int>")
+    sizes = items.select(F.lit("k").alias("k"), "item", F.size("ids").alias("n"))
+    placed = pk.pack(sizes, "k", "item", "n", "item", 6, 10, crop=False)
+    found = pk.training_rows(placed, items, "k", "item", 6, 0).orderBy("row").collect()
+    assert [(r.inputs, r.targets) for r in found] == [([1, 2, 3, 4, 5], [2, 3, -1, 5, -1]), ([6, 7, 8, 9, 10], [7, 8, 9, 10, 11])]
+
+
+def test_files_and_components(spark):
+    files = spark.createDataFrame([(f"b{i:02}",) for i in range(10)], "name string")
+    names = sorted(f"b{i:02}" for i in range(10))
+    for fraction, n in ((0.25, 2), (0.35, 4), (0.01, 1)):  # 2.5 and 3.5 round to even
+        assert sorted(r.name for r in sm.sample_files(files, "name", fraction, 3).collect()) == sorted(random.Random(3).sample(names, n))
+    assert sm.sample_files(files.limit(0), "name", 0.5, 3).count() == 0
+    pairs = spark.createDataFrame([(0, 1, 5), (1, 0, 3), (1, 2, 4), (2, 0, 4), (3, 4, 1), (4, 3, 1), (5, 6, 2)], "u long, v long, w long")
+    assert ordering.component_stats(pairs) == {"net_edges": 4, "components": 3, "largest": 3, "largest_share": 0.6, "active": 5}
+    assert ordering.component_stats(pairs.limit(0))["largest"] == 0
+
+
+def test_conversations_that_are_malformed(spark):
+    from corpusloom.functions import bpe, chat
+
+    model = bpe.Bpe([])
+    kind = "m array<struct<role: string, parts: array<struct<type: string, text: string>>>>"
+    turn = lambda role, t="text": (role, [(t, "ab")])
+    rows = [([turn("user"), turn("assistant")],), ([turn("assistant")],), ([turn("user", "picture")],), (None,), ([],)]
+    found = [r[0] for r in spark.createDataFrame(rows, kind).select(chat.conversation_ids(F.col("m"), model)).collect()]
+    assert found[0] is not None and found[1:4] == [None] * 3 and len(found[4].ids) == 1
+    done = [r[0] for r in spark.createDataFrame(rows, kind).select(chat.conversation_ids(F.col("m"), model, for_completion=True)).collect()]
+    assert done[0] is not None and done[1:] == [None] * 4

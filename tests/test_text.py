@@ -152,3 +152,12 @@ def test_common_prefix_and_suffix(spark):
     df = spark.createDataFrame([([1, 2, 3], [1, 2, 4, 3]), ([], [1]), ([1], [1])], "a array<int>, b array<int>")
     rows = df.select(tx.common_prefix(F.col("a"), F.col("b")), tx.common_suffix(F.col("a"), F.col("b"))).collect()
     assert [tuple(r) for r in rows] == [(2, 1), (0, 0), (1, 1)]
+
+
+def test_prompts_for_schemas_and_continuations(spark):
+    df = spark.createDataFrame([(["x", "y"], "z", " c \n", "d")], "o array<string>, e string, c string, d string")
+    shots = F.array(F.struct(F.array(F.lit("p"), F.lit("q")).alias("contexts"), F.lit(1).alias("gold"), F.lit("r").alias("continuation")))
+    one = F.array(F.struct(F.lit(" s ").alias("context"), F.lit("t").alias("continuation")))
+    none = F.array().cast("array<struct<context:string,continuation:string>>")
+    got = df.select(tx.schema_prompts(F.col("o"), F.col("e"), F.lit("-"), shots), tx.continuation_prompts(F.col("c"), F.col("d"), F.lit("\n "), one), tx.continuation_prompts(F.col("c"), F.col("d"), F.lit(" "), none)).first()
+    assert list(got) == [["q-r\n\nx-z", "q-r\n\ny-z"], ["s\n t\n\nc", "s\n t\n\nc\n d"], ["c", "c d"]]
