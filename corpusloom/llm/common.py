@@ -1,7 +1,5 @@
 """What the operators share: tables, the shared folder, Arrow UDFs over whole rows."""
 
-import contextlib
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from corpusloom.sources.shared import shared_dir, written
+
 
 #: Rows of an Arrow batch that are Python objects at once.
 ROWS = 256
@@ -21,22 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as spark.checkpoint.dir names it.
-
-    Only where that setting is missing (tests on one machine) a temporary folder is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        with contextlib.suppress(Exception):
-            named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="corpusloom-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -44,8 +28,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder: lineage ends here and no executor's loss costs them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return written(df)
 
 
 def row_udf(make: Callable[[], Callable], schema: T.DataType, inputs: int = 1) -> Callable[..., Column]:

@@ -93,12 +93,24 @@ def scanner(block: dict[bytes, list]):
     return scan
 
 
+def cut(item: str | None, text: str, width: int, block_bytes: int) -> Iterator[tuple[str | None, str]]:
+    """The item, or parts of it that have all its windows between them, where its windows alone would fill a block."""
+    if len(text) * width <= block_bytes:
+        yield item, text
+        return
+    words = [w.decode() for w in normalised_words(text)]
+    longest = max(map(len, words), default=1)
+    size = max(1, block_bytes // (width * (longest + 1)))  # windows of a part
+    for at in range(0, max(1, len(words) - width + 1), size):
+        yield item, " ".join(words[at : at + size + width - 1])
+
+
 def _blocks(items: DataFrame, width: int, block_bytes: int) -> Iterator[dict[bytes, list]]:
     """The windows of the items, read one row after the other, in blocks of bounded size; one block at least."""
     block, held, none_yet = [], 0, True
-    for row in items.toLocalIterator():
-        block.append((row[0], row[1]))
-        held += len(row[1]) * width  # each word is in as many windows
+    for item, text in (part for row in items.toLocalIterator() for part in cut(row[0], row[1], width, block_bytes)):
+        block.append((item, text))
+        held += len(text) * width  # each word is in as many windows
         if held > block_bytes:
             yield windows(block, width)
             block, held, none_yet = [], 0, False

@@ -330,7 +330,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             ids, urls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             places = [host_and_path(u) for u in urls]
             parts = [max(0, bisect.bisect_right(bounds.value, _order(*p, i)) - 1) for i, p in zip(ids, places, strict=True)]
-            lines = [zlib.compress(json.dumps(lines_of(h.as_py()), ensure_ascii=False).encode("utf-8", "replace"), 3) for h in batch.column(2)]
+            lines = [zlib.compress(json.dumps(lines_of(h.as_py()), ensure_ascii=False).encode("utf-8", "replace"), 6) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p[0] for p in places], pa.string()), pa.array([p[1] for p in places], pa.string()), pa.array(lines, pa.binary()), pa.array(parts, pa.int32())], names=[*described.names, "range"])
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

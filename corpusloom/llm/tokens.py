@@ -1,15 +1,15 @@
 """Token ids of whole texts under a public tokenizer, fast enough for a corpus.
 
 ``word_bpe_49k.json`` never lets a token span white space, so a text is cut at spaces and line feeds and
-each piece is encoded once a task and kept in a bounded cache. The ids equal those of the whole text.
+each piece is encoded once a task and kept in a bounded cache. The ids equal those of the whole text. Under any
+other tokenizer texts are encoded whole.
 Vocabularies are read where the tokenizer package has them; their path is a parameter.
 """
 
+import os
 import re
 import struct
 
-
-
 #: Tokenizer whose tokens never span a space or a line feed.
 WORD_BPE = "word_bpe_49k.json"
 #: Pieces that a task keeps; beyond them the cache starts anew, so memory stays bounded.
@@ -81,4 +81,8 @@ def encoder(path: str | None = None, cache: int = CACHE):
     def encode(text: str | None) -> bytes:
         return b"".join(map(pieces.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
-    return encode
+    def whole(text: str | None) -> bytes:
+        found = pieces.tokenizer.encode(text or "", add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
+
+    return encode if os.path.basename(path) == WORD_BPE else whole

@@ -89,7 +89,7 @@ class Lexicon:
                 if exceptions and not exceptions.isdisjoint(_pairs(folded, start, word)):
                     continue
                 hits[start] = (word, w)
-            mass = sum(w for _, w in set(hits.values()))  # a word that is repeated counts once
+            mass = math.fsum(w for _, w in set(hits.values()))  # a word that is repeated counts once; exact, whatever the order
             x = mass / max(1, folded.count(" ") - 1) ** self.power if hits else 0.0
             return list(hits.values()), 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * x + self.intercept))))
 
@@ -209,7 +209,7 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Lexi
 
     def masses():
         match = unfitted.matcher()
-        return lambda t: {"m": float(sum(w for _, w in set(match(t)[0]))), "n": max(0, fold(t).count(" ") - 1)}
+        return lambda t: {"m": math.fsum(w for _, w in set(match(t)[0])), "n": max(0, fold(t).count(" ") - 1)}
 
     measured = row_udf(masses, T.StructType([T.StructField("m", T.DoubleType()), T.StructField("n", T.LongType())]))
     both = toxic.unionByName(clean).repartition(parts).select(measured(F.col("t")).alias("x"), "y").select("x.m", "x.n", "y")

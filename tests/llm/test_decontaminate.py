@@ -84,3 +84,19 @@ def test_query_digest(spark, sf_dir):
         n, hit, ids = brute(texts[r.doc_id], items)
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, hit, len(ids), hit > 0)
         assert r.items_sha256 == hashlib.sha256(",".join(ids).encode()).hexdigest()
+
+
+def test_an_item_that_fills_several_blocks(spark):
+    """Its parts overlap, so that no window is lost and none is new."""
+    words = [f"w{i}" for i in range(300)]
+    for size in (1, 50, 4000, 10**6):
+        parts = list(decontaminate.cut("7", " ".join(words), 10, size))
+        found = set().union(*(decontaminate.windows([p]) for p in parts))
+        assert found == set(decontaminate.windows([("7", " ".join(words))])) and len(found) == 291
+    assert len(parts) == 1 and len(list(decontaminate.cut("7", " ".join(words), 10, 4000))) > 1
+    assert list(decontaminate.cut("7", "a b", 10, 1)) == [("7", "a b")]
+    docs = spark.createDataFrame([(1, " ".join(words[95:120])), (2, " ".join(words[5:14]))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    for size in (2000, 1 << 20):
+        rows = decontaminate.with_contamination(docs, items, "c", block_bytes=size).select("doc_id", "c.n_hit", "c.item_ids").orderBy("doc_id").collect()
+        assert [tuple(r) for r in rows] == [(1, 25, ["7"]), (2, 0, [])]

@@ -32,3 +32,18 @@ def test_empty_table(spark):
     empty = tokencounts.length_histogram(documents(spark, TEXTS).limit(0))
     assert tokencounts.with_suffix_sums(empty).count() == 0
     assert [tuple(r) for r in tokencounts.at_limits(tokencounts.with_suffix_sums(empty), [8]).collect()] == [(8, 0, 0, 0, 0)]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import struct
+
+    import public_tokenizers
+    import tokenizers
+
+    from corpusloom.llm import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = tokenizers.Tokenizer.from_file(path)
+    for text in ("", "two  spaces and\n\nlines  ", "plain words here", None):
+        ids = whole.encode(text or "", add_special_tokens=False).ids
+        assert tokens.encoder(path)(text) == struct.pack(f"<{len(ids)}I", *ids)

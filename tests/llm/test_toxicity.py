@@ -1,3 +1,6 @@
+import math
+import random
+
 from helpers import documents, sentence
 
 from corpusloom.llm import toxicity
@@ -53,3 +56,26 @@ def test_held_out_accuracy(spark):
     rows = [r for r in QUERIES["op4_toxicity"](spark, sf).collect() if r.held_out and labels.get(r.doc_id) is not None]
     right = sum(r.predicted == labels[r.doc_id] for r in rows)
     assert right >= 0.95 * len(rows) > 0
+
+
+def test_matcher_against_every_word_and_term():
+    """Overlapping terms, ties between them, exceptions, repeats, digits for letters and a very long text."""
+    rng = random.Random(4)
+    terms = {"".join(rng.choice("abi") for _ in range(rng.randrange(4, 8))): float(rng.randrange(1, 4)) for _ in range(60)}
+    words = ["".join(rng.choice("abi1") for _ in range(rng.randrange(1, 10))) for _ in range(200)]
+    exceptions = {f"{toxicity.fold(rng.choice(words)).strip()} {toxicity.fold(rng.choice(words)).strip()}" for _ in range(800)}
+    lexicon = toxicity.Lexicon(terms, exceptions, 0.5, 1.0, -1.0)
+    match = lexicon.matcher()
+    for n in (0, 1, 3, 40, 30000):
+        text = " ".join(rng.choice(words) for _ in range(n))
+        own = toxicity.fold(text).split()
+        wanted = []
+        for i, w in enumerate(own):
+            best = max((terms[t] for t in terms if w.startswith(t)), default=None)
+            beside = {f"{a} {b}" for a, b in (own[max(0, i - 1) : i + 1] if i else ["", w], [*own[i : i + 2], ""][:2])}
+            if best is not None and not beside & exceptions:
+                wanted.append((w, best))
+        hits, score = match(text)
+        assert sorted(hits) == sorted(wanted)
+        mass = sum(w for _, w in set(wanted))
+        assert abs(score - 1 / (1 + math.exp(1 - (mass / max(1, len(own)) ** 0.5 if wanted else 0.0)))) < 1e-12
