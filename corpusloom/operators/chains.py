@@ -22,9 +22,9 @@ def chain_summary(histogram: DataFrame) -> DataFrame:
 
 
 def chain_averages(summary: DataFrame) -> DataFrame:
-    """The summary with avg_len and the fractions of chains of length 1 and of tokens that begin none; null without chains."""
+    """The summary with avg_len, to three places, and the fraction of chains of length 1, to four; null without chains."""
     chains = F.nullif(F.col("chains"), F.lit(0))
-    return summary.select("*", (F.col("tokens") / chains).alias("avg_len"), (F.col("len1") / chains).alias("len1_fraction"), (1 - chains / F.nullif(F.col("tokens"), F.lit(0))).alias("inside_fraction"))
+    return summary.select("*", F.round(F.col("tokens") / chains, 3).alias("avg_len"), F.round(F.col("len1") / chains, 4).alias("len1_fraction"))
 
 
 def as_text(ids: Column | str) -> Column:
@@ -123,6 +123,11 @@ def net_edges(pairs: DataFrame) -> DataFrame:
     return both_ways(pairs).where("w > back").select("u", "v", (F.col("w") - F.col("back")).alias("net"))
 
 
+def inverse(order: DataFrame) -> DataFrame:
+    """id and pos of an order (id, pos), the other way round: which id stands at a place."""
+    return order.select(F.col("pos").alias("id"), F.col("id").alias("pos"))
+
+
 def ordering_ceiling(pairs: DataFrame) -> DataFrame:
     """One row: all weight, the weight no order can make ascend, and the ids that occur in pairs."""
     both = both_ways(pairs)

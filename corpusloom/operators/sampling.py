@@ -31,6 +31,14 @@ def permutation(spark: SparkSession, n: int, seed: int) -> DataFrame:
     return spark.createDataFrame([(o, i) for i, o in enumerate(order)], "ordinal long, place long")
 
 
+def hub_permutation(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """ordinal, place: the permutation of 0 to n - 1 that NumPy's default generator (PCG64) gives for the seed."""
+    import numpy as np
+
+    order = np.random.default_rng(seed).permutation(n)
+    return spark.createDataFrame([(int(o), i) for i, o in enumerate(order)], "ordinal long, place long")
+
+
 def sample_files(files: DataFrame, name: str, fraction: float, seed: int) -> DataFrame:
     """At least one file, and about so large a fraction of them (half a file rounds to even), as a Mersenne Twister draws
     them from the sorted names. A row a file goes to the driver."""
@@ -114,3 +122,8 @@ def bootstrap(values: DataFrame, group: str, ordinal: str, value: str, resamples
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("resample").cast("string"), F.col("_i").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
     drawn = draws.select(group, "resample", (h % F.col("_n")).alias(ordinal))
     return drawn.join(values.select(group, ordinal, value), [group, ordinal]).groupBy(group, "resample").agg(F.avg(value).alias("mean_value"))
+
+
+def oversampled(parts: list[tuple[DataFrame, int]], **options) -> DataFrame:
+    """The mixture of tasks of which each comes in so many copies; copies of a task are tasks of their own."""
+    return mixture([rows for rows, times in parts for _ in range(times)], **options)

@@ -120,6 +120,33 @@ def remapped(documents: DataFrame, table: DataFrame, default: int, key: str = "d
     return computed(documents, "ids", _LONGS, run, "ids")
 
 
+def remapped_lists(rows: DataFrame, column: str, table: DataFrame, default: int, keep: int = -1) -> DataFrame:
+    """The rows with a column of lists of ids (array<array<id>>) through a table (id, new_id) of vocabulary size.
+
+    Places and order stay; ids that the table lacks get ``default``, and ``keep``, which marks a place without id, stays.
+    """
+    known = table.select("id", "new_id").toArrow()
+    sent = rows.sparkSession.sparkContext.broadcast((pa.array([keep, *known.column("id").to_pylist()], pa.int64()), pa.array([keep, *known.column("new_id").to_pylist()], pa.int64())))
+
+    def run(lists: pa.Array) -> pa.Array:
+        old, new = sent.value
+        outer, inner = _lists(lists)
+        offsets, flat = _lists(inner)
+        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pc.fill_null(new.take(pc.index_in(flat, value_set=old)), default))
+        return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), ids)
+
+    return computed(rows, column, T.ArrayType(_LONGS), run, column)
+
+
+def with_front(documents: DataFrame, encode: Callable[[list[int]], list[int]], name: str = "front", ids: str = "ids") -> DataFrame:
+    """The documents with what a caller's function makes of their ids, such as the ids of an encoded context."""
+
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else encode(v) for v in column.to_pylist()], pa.list_(pa.int64()))
+
+    return computed(documents, name, _LONGS, run, ids)
+
+
 def _tokens(ids: pa.Array, clauses: pa.Array) -> pa.Array:
     """pos, clause, cpos, clen, id and the ids before and after, of every token."""
     offsets, flat = _lists(ids)

@@ -83,6 +83,12 @@ def sparse_records(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     return single.unionByName(packed)
 
 
+def build_metadata(records: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
+    """record_type, n_records, n_documents and n_types of a build."""
+    counted = records.groupBy("record_type").agg(F.count("*").alias("n_records"), F.countDistinct(key).alias("n_documents"))
+    return counted.withColumn("n_types", F.lit(vocab.count()))
+
+
 def canonical_stream(records: DataFrame, keys: list[str], order: str = "line_no") -> DataFrame:
     """abs_pos and index of single and punctuation records: of those at one place the first by ``order`` wins."""
     rows = records.where(F.col("record_type").isin("single", "punctuation") & (F.size("indices") > 0)).withColumn("abs_pos", F.col("start") + F.col("token_pos"))

@@ -140,6 +140,27 @@ def sparse_records(spark, sf):
     return vo.sparse_records(known_documents(spark, sf))
 
 
+_RECORDS = (
+    sql.IDS
+    + """, i AS (SELECT s.doc_id, s.pos, s.clause, k.id FROM s JOIN k ON s.tok = k.token),
+    g AS (SELECT doc_id, clause, count(*) AS n, list(id ORDER BY pos) AS l FROM i GROUP BY doc_id, clause),
+    rc AS (SELECT doc_id, clause, 'single' AS record_type, pos, CAST(id AS VARCHAR) AS indices_str FROM i
+        UNION ALL SELECT doc_id, clause, 'packed', -1, array_to_string(l, ' ') FROM g WHERE n > 1 AND len(list_filter(range(1, n), lambda j: l[j] >= l[j + 1])) = 0)"""
+)
+
+
+@query("build_metadata", sql.with_(_RECORDS, "SELECT record_type, count(*) AS n_records, count(DISTINCT doc_id) AS n_documents, (SELECT count(*) FROM k) AS n_types FROM rc GROUP BY record_type"))
+def build_metadata(spark, sf):
+    """What a build of records says of itself: records and documents by type, and the vocabulary's size."""
+    return vo.build_metadata(vo.sparse_records(known_documents(spark, sf)), lookup(spark, sf).where(F.col("token") != vo.UNKNOWN))
+
+
+@query("record_samples", sql.with_(_RECORDS, "SELECT doc_id, clause, record_type, pos, indices_str FROM rc ORDER BY doc_id, clause, record_type, pos LIMIT 100"))
+def record_samples(spark, sf):
+    """The first 100 records of a build, in order."""
+    return vo.sparse_records(known_documents(spark, sf)).orderBy("doc_id", "clause", "record_type", "pos").limit(100)
+
+
 @query("canonical_stream", sql.with_(sql.IDS, "SELECT s.doc_id, s.pos AS abs_pos, s.clause AS phrase_id, k.id FROM s JOIN k ON s.tok = k.token"))
 def canonical_stream(spark, sf):
     """Single records as written, and once more as later copies that lose to the first record of their place."""
@@ -268,6 +289,11 @@ def chain_summary(spark, sf):
     return ch.chain_summary(ch.chain_histogram(st.chain_rows(documents(spark, sf))))
 
 
+@query("chain_averages", sql.with_(sql.chains(), "SELECT count(*) AS chains, CAST(sum(len) AS BIGINT) AS tokens, count(*) FILTER (WHERE len = 1) AS len1, max(len) AS max_len, round(sum(len) / count(*), 3) AS avg_len, round(count(*) FILTER (WHERE len = 1) / count(*), 4) AS len1_fraction FROM cl"))
+def chain_averages(spark, sf):
+    return ch.chain_averages(ch.chain_summary(ch.chain_histogram(st.chain_rows(documents(spark, sf)))))
+
+
 @query("window_bags", sql.with_(sql.IDS, "SELECT doc_id, pos // 16 AS bag, array_to_string(list_sort(list(DISTINCT id)), ' ') AS ids_str FROM x GROUP BY doc_id, pos // 16"))
 def window_bags(spark, sf):
     return ch.window_bags(documents(spark, sf), 16)

@@ -91,12 +91,35 @@ _REMAP = """, r AS (SELECT idx, row_number() OVER (ORDER BY cnt DESC, idx) AS rk
 n AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS id, CASE WHEN rk <= 1000 THEN sum(CASE WHEN rk <= 1000 THEN 1 ELSE 0 END) OVER (ORDER BY idx) - 1 ELSE 1000 END AS new_id FROM r)"""
 
 
+def _top_remap(spark, sf):
+    """id and new_id of the 1000 most frequent tokens of the lookup."""
+    kept = lookup(spark, sf).where(F.col("token") != vo.UNKNOWN)
+    counted = kept.join(vocab(spark, sf).select("token", "cnt"), "token").select("token", F.col("id").alias("idx"), "cnt")
+    return vo.top_k_remap(counted, 1000).withColumnRenamed("old_id", "id")
+
+
 @query("remapped_bags", sql.with_(sql.IDS + _REMAP, "SELECT doc_id, pos // 16 AS bag, array_to_string(list_sort(list(DISTINCT CAST(coalesce(new_id, 1000) AS BIGINT))), ' ') AS ids_str FROM x LEFT JOIN n USING (id) GROUP BY doc_id, pos // 16"))
 def remapped_bags(spark, sf):
-    kept = vo.lookup(vocab(spark, sf), sql.MIN_COUNT).where(F.col("token") != vo.UNKNOWN)
-    counted = kept.join(vocab(spark, sf).select("token", "cnt"), "token").select("token", F.col("id").alias("idx"), "cnt")
-    remap = vo.top_k_remap(counted, 1000).withColumnRenamed("old_id", "id")
-    return ch.window_bags(st.remapped(documents(spark, sf), remap, 1000), 16)
+    return ch.window_bags(st.remapped(documents(spark, sf), _top_remap(spark, sf), 1000), 16)
+
+
+@query(
+    "remapped_examples",
+    sql.with_(
+        sql.chains()
+        + _REMAP
+        + """, m AS (SELECT doc_id, CAST(chain AS BIGINT) AS chain, string_agg(CAST(coalesce(new_id, 1000) AS BIGINT)::VARCHAR, ' ' ORDER BY pos) AS ids, arg_min(CAST(coalesce(new_id, 1000) AS BIGINT), pos) AS first_id FROM ch LEFT JOIN n USING (id) GROUP BY ALL),
+        ms AS (SELECT * FROM (SELECT doc_id, chain, ids, lead(first_id) OVER (PARTITION BY doc_id ORDER BY chain) AS target FROM m) WHERE target IS NOT NULL)""",
+        "SELECT doc_id, chain // 64 AS chunk, string_agg(ids, '|' ORDER BY chain) AS inputs, string_agg(CAST(target AS VARCHAR), ' ' ORDER BY chain) AS targets FROM ms GROUP BY ALL",
+    ),
+)
+def remapped_examples(spark, sf):
+    """Sequence examples under a vocabulary of the 1000 most frequent tokens; all others share the last id."""
+    rows = ch.sequence_examples(documents(spark, sf), 64).withColumn("targets", F.array("targets"))
+    remap = _top_remap(spark, sf)
+    for c in ("inputs", "targets"):
+        rows = st.remapped_lists(rows, c, remap, 1000)
+    return rows.select("doc_id", "chunk", F.array_join(F.transform("inputs", ch.as_text), "|").alias("inputs"), ch.as_text(F.get("targets", F.lit(0))).alias("targets"))
 
 
 @query("reordered_vocab", sql.with_(sql.VOCAB, "SELECT token, idx AS old_idx, row_number() OVER (ORDER BY cnt DESC, token) - 1 AS idx, cnt FROM v"))

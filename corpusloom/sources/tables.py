@@ -188,3 +188,15 @@ def repackaged(docs: DataFrame, doc_id: str, text: str, seed: int, chars_per_sha
     inside = Window.partitionBy("_bucket").orderBy("_h", doc_id).rowsBetween(Window.unboundedPreceding, -1)
     running = F.col("_before") + F.coalesce(F.sum(size).over(inside), F.lit(0))
     return rows.join(totals, "_bucket").withColumn("shard", F.floor(running / chars_per_shard)).drop("_h", "_bucket", "_before")
+
+
+def core_inputs(spark: SparkSession, folder: str, schema: str | T.StructType, baselines: str = "eval_meta_data.csv") -> tuple[DataFrame, DataFrame]:
+    """Items of all JSON lines files below a folder, with their task (the file's stem), and the tasks' baselines from a CSV."""
+    items = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").json(folder)
+    task = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1).alias("task")
+    return items.select(task, "*").dropna("all", subset=items.columns), spark.read.option("header", True).option("inferSchema", True).csv(f"{folder.rstrip('/')}/{baselines}")
+
+
+def write_results(rows: DataFrame, path: str) -> None:
+    """A small table of results, a row a task, as one CSV file with a header."""
+    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

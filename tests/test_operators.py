@@ -245,3 +245,44 @@ def test_conversations_that_are_malformed(spark):
     assert found[0] is not None and found[1:4] == [None] * 3 and len(found[4].ids) == 1
     done = [r[0] for r in spark.createDataFrame(rows, kind).select(chat.conversation_ids(F.col("m"), model, for_completion=True)).collect()]
     assert done[0] is not None and done[1:] == [None] * 4
+
+
+def test_remapping_fronts_and_inverses(spark):
+    rows = spark.createDataFrame([(0, [[1, 2], [], [3, -1]]), (1, []), (2, None)], "k long, x array<array<long>>")
+    table = spark.createDataFrame([(1, 7), (3, 0)], "id long, new_id long")
+    assert sorted(map(tuple, st.remapped_lists(rows, "x", table, 9).collect())) == [(0, [[7, 9], [], [0, -1]]), (1, []), (2, [])]
+    fronts = st.with_front(docs(spark, [(0, 4), (0, 5)]), lambda ids: [sum(ids), len(ids)]).first()
+    assert fronts.front == [9, 2]
+    order = spark.createDataFrame([(0, 2), (1, 0), (2, 1)], "id long, pos long")
+    assert sorted(map(tuple, ch.inverse(order).collect())) == [(0, 1), (1, 2), (2, 0)]
+    assert ch.inverse(ch.inverse(order)).exceptAll(order).count() == 0
+
+
+def test_permutations_and_mixtures(spark):
+    import numpy as np
+
+    found = [r.ordinal for r in sm.hub_permutation(spark, 9, 5).orderBy("place").collect()]
+    assert found == np.random.default_rng(5).permutation(9).tolist()
+    a, b = (spark.range(n).withColumnRenamed("id", "local_idx") for n in (3, 2))
+    assert sm.oversampled([(a, 2), (b, 1)]).count() == 8
+
+
+def test_generations(spark):
+    rng = random.Random(5)
+    edges = [(i, j, rng.randrange(1, 9)) for i in range(16) for j in range(16) if i != j and rng.random() < 0.4]
+    pairs = spark.createDataFrame(edges, "u long, v long, w long")
+    one, two = (ordering.optimized(pairs, list(range(16)), restarts=3, generations=n) for n in (1, 2))
+    assert two[1] >= one[1] >= one[2] and sorted(two[0]) == list(range(16))
+    assert sorted(ordering.shaken(list(range(30)), 0.3, rng)) == list(range(30))
+
+
+def test_core_files(spark, tmp_path):
+    from corpusloom.sources import tables
+
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "t1.jsonl").write_text('{"q": "a"}\n\n{"q": "b"}\n')
+    (tmp_path / "eval_meta_data.csv").write_text("task,baseline\nt1,25\n")
+    items, baselines = tables.core_inputs(spark, str(tmp_path), "q string")
+    assert sorted(map(tuple, items.collect())) == [("t1", "a"), ("t1", "b")] and [tuple(r) for r in baselines.collect()] == [("t1", 25)]
+    tables.write_results(baselines, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("*.csv"))) == 1
