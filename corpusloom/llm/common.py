@@ -68,9 +68,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
     """k (the id), t (a text) and y (the label) of at most ``sample`` documents of each label 0 and 1.
 
     The ids are chosen from the labels alone, by hash; only these, 2 * ``sample`` at most, are broadcast. Where
-    an id repeats, one of its texts is taken.
+    an id repeats, one of its texts is taken; an id with both labels is left out.
     """
-    known = labels.select(F.col(doc_id).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").distinct()
+    known = labels.select(F.col(doc_id).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)")
+    known = known.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").drop("other")
     first, second = (known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(sample) for y in (1, 0))
     rows = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).where("t is not null")
     return rows.join(F.broadcast(first.unionByName(second)), "k").groupBy("k", "y").agg(F.max("t").alias("t"))

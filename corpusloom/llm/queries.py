@@ -97,6 +97,27 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"q.{n}" for n in names])
 
 
+@query
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2's plain rules count, without the field's verdict."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = docs.select("doc_id", quality.quality(quality.Field(), F.col("text")).alias("q"))
+    return judged.select("doc_id", *[f"q.{n}" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")])
+
+
+ORACLES["quality_base_counts"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) AS u(i) WHERE len(w) > 2),
+twice AS (SELECT doc_id, unnest(i) AS i FROM (SELECT doc_id, g, list(i) AS i FROM g GROUP BY doc_id, g HAVING count(*) > 1)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+      FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""
+
+
 @query
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence families found in every document."""

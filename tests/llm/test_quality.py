@@ -69,3 +69,20 @@ def test_without_labels(spark):
     field = quality.trained(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert [r[0].kept for r in docs.select(quality.quality(field, docs.text)).collect()] == [True, False]
     assert docs.limit(0).select(quality.quality(field, docs.text)).count() == 0
+
+
+def test_share_tells_the_kinds_apart():
+    field = quality.Field()
+    field.weights[:, 1] = 0.0
+    lines = quality.document_features("a fine line of words\nanother one")[0]
+    assert quality.chosen_share(field, []) == quality.chosen_share(field, [(1, lines, [5, 2])]) == quality.CONTENT_SHARE
+    assert quality.chosen_share(field, [(1, lines, [5, 2]), (0, lines, [5, 2])]) == quality.SHARES[0]  # nothing tells them apart
+
+
+def test_ids_with_both_labels_are_not_learned_from(spark):
+    from corpusloom.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, quality int")
+    found = sorted((r.k, r.y) for r in labelled_sample(docs, labels, "doc_id", "text", "quality", 5).collect())
+    assert found == [(1, 1), (2, 0)]
