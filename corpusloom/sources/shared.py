@@ -32,3 +32,9 @@ def written(rows: DataFrame) -> DataFrame:
     """The same rows from the shared folder: computed once for several uses, and safe from the loss of executors."""
     shared_dir(rows.sparkSession)
     return rows.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

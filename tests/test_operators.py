@@ -286,3 +286,11 @@ def test_core_files(spark, tmp_path):
     assert sorted(map(tuple, items.collect())) == [("t1", "a"), ("t1", "b")] and [tuple(r) for r in baselines.collect()] == [("t1", 25)]
     tables.write_results(baselines, str(tmp_path / "out"))
     assert len(list((tmp_path / "out").glob("*.csv"))) == 1
+
+
+def test_shared_folders(spark, tmp_path):
+    from corpusloom.sources import shared
+
+    spark.range(3).write.parquet(str(tmp_path / "x"))
+    shared.remove(spark, str(tmp_path / "x"))
+    assert not (tmp_path / "x").exists() and shared.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
