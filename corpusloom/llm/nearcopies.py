@@ -1,17 +1,24 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, by deletion variants.
-
-The scheme is that of ``simhash``: signatures are cut into few segments, so that one of them differs in at most one
-place, segments are indexed under their one-wildcard variants, equal variants meet in an equality join, and what
-meets is verified. Only the places hold minimum hashes instead of bits, since bits can't give right results here:
-at a similarity of 0.8 two SimHash bits agree with probability 0.85 and a selective segment of 32 bits differs in at
-most one with probability 0.035, so a recall of 0.9 would take 64 segments and 2048 variants a document; a segment of
-five minimum hashes differs in at most one with 0.74, and 30 variants a document find a pair at exactly 0.8 with
-probability 1 - (1 - 0.8**5 - 5 * 0.8**4 * 0.2)**6 = 0.9997, a closer one with more. That is the only bound.
-
-Verification is exact and in two steps. A sketch of 1024 bits holds, for each remainder of the shingles' hashes, the
-parity of their count. Every shingle that only one of two sets has flips one bit, so sketches of sets at 0.8 or above
-differ in at most a ninth of the sets' sizes together: pairs beyond that are rejected inside the join, without being
-made, and no pair at the threshold is lost. What is left is compared by whole sets.
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, by SimHash.
+
+The scheme is that of ``simhash``: SimHash fingerprints are cut into segments and indexed under their one-wildcard
+variants (one segment left out), equal variants meet in an equality join, what meets is verified by the distance of the
+fingerprints and then exactly, and links go through star contractions.
+
+A text has ``PRINTS`` fingerprints of 60 bits, each of five segments of 12 bits. A bit is 1 if shingles of over half the
+weight vote for it, as Charikar's SimHash has it. A shingle's weight differs from segment to segment: 1 / u**2 for a
+uniform hash u of it. With equal weights two bits agree with probability 0.85 at a similarity of 0.8, whatever the
+other bits do, and 48 equal ones are hopeless (0.0004); with these few shingles outweigh the rest, so that the bits of a
+segment mostly agree or differ together. At 0.8 two segments were seen to be equal with probability 0.70 (0.67 in sets
+of five shingles), so a fingerprint's variants meet with 0.53 (0.47), and ten fingerprints, 50 variants a document, find
+a pair at exactly 0.8 with 1 - 0.47**10 = 0.9995 (0.998), a closer one with more. Unlike sets meet by chance with 2**-48
+a variant. Weights are whole numbers and their sums exact (up to some ten million shingles), so a
+set has the same bits on any machine.
+
+Verification has three steps. At 0.8 a bit differs with probability 0.11; pairs of more than ``MOST_BITS`` of the 600
+bits, two fifths (unlike sets: half), are rejected inside the join. So are pairs by a sketch of 1024 bits that holds,
+for each remainder of the shingles' hashes, the parity of their count. Every shingle that only one of two sets has flips
+one bit, so sketches of sets at 0.8 or above differ in at most a ninth of the sets' sizes together, and no pair at the
+threshold is lost by that. What is left is compared by whole sets. The two probabilities above are the only bound.
 
 Only distinct sets are compared, so copies cost nothing. First the members of each bucket are compared with the one
 that shares the most keys with others, which in a family of copies is the original or near it; after that, members of
@@ -31,27 +38,58 @@ from pyspark.sql import types as T
 from corpusloom.llm import simhash
 from corpusloom.llm.common import checkpointed, row_udf
 
-SHINGLE, SEGMENTS, PLACES, SEED = 5, 6, 5, 42
+SHINGLE, SEED = 5, 42
+#: Fingerprints of a text, segments of one and bits of a segment.
+PRINTS, SEGMENTS, BITS = 10, 5, 12
+#: Differing bits of all fingerprints beyond which a pair isn't compared.
+MOST_BITS = 2 * PRINTS * SEGMENTS * BITS // 5
 #: 64-bit words of a sketch.
 SKETCH = 16
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LONGS = T.ArrayType(T.LongType())
-_SIGNED = T.StructType([T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("keys", _LONGS), T.StructField("sketch", _LONGS)])
+_SIGNED = T.StructType([T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("keys", _LONGS), T.StructField("prints", _LONGS), T.StructField("sketch", _LONGS)])
 _WHOLE = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", _LONGS)])
 
 
-def signer(whole: bool, shingle: int = SHINGLE, segments: int = SEGMENTS, places: int = PLACES, seed: int = SEED):
-    """Makes the function of a text that gives its set's hash and either size, keys and sketch, or the ``whole`` set."""
+def voter(prints: int = PRINTS, seed: int = SEED):
+    """Makes the function of a set's hashes that gives its fingerprints' segments as numbers, a row each."""
+    own = np.random.default_rng(seed).integers(0, 1 << 64, (prints * SEGMENTS, 1), np.uint64)
+
+    def segments(hashes: np.ndarray) -> np.ndarray:
+        votes, total = np.zeros((len(own), 16)), np.zeros((len(own), 1))
+        for at in range(0, len(hashes), 1024):  # bounded memory for very long texts
+            x = hashes[at : at + 1024] + own
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            u = (x >> np.uint64(44)).astype(float) + 1  # of 2**20
+            weight = np.floor(2.0**48 / (u * u))
+            bits = np.unpackbits(x.astype("<u2").view(np.uint8).reshape(len(own), -1, 2), axis=2, bitorder="little")
+            votes += np.matmul(weight[:, None, :], bits.astype(float))[:, 0]
+            total += weight.sum(axis=1, keepdims=True)
+        return ((2 * votes > total)[:, :BITS] @ (1 << np.arange(BITS))).reshape(prints, SEGMENTS)
+
+    return segments
+
+
+def variants(segments: np.ndarray) -> np.ndarray:
+    """The index keys: for each fingerprint and each of its segments, which these are, and the other segments."""
+    places = 1 << BITS * np.arange(SEGMENTS)
+    rest = np.stack([np.delete(segments, s, axis=1) @ places[:-1] for s in range(SEGMENTS)], axis=1).ravel()
+    return rest + (np.arange(rest.size) << BITS * (SEGMENTS - 1))
+
+
+def signer(whole: bool, shingle: int = SHINGLE, prints: int = PRINTS, seed: int = SEED):
+    """Makes the function of a text that gives its set's hash and either size, keys, fingerprints and sketch, or the ``whole`` set."""
     from xxhash import xxh64_intdigest
 
-    odd, add = np.random.default_rng(seed).integers(0, 1 << 63, (2, segments * places), np.uint64)
-    odd = odd * np.uint64(2) + np.uint64(1)
+    segments_of = voter(prints, seed)
 
     def signed(text: str | None) -> dict:
         words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
         if not words:
-            return {"node": 0, "size": 0, "keys": [], "sketch": [0] * SKETCH, "shingles": []}
+            return {"node": 0, "size": 0, "keys": [], "prints": [0] * prints, "sketch": [0] * SKETCH, "shingles": []}
         line = b" ".join(words)
         if len(words) <= shingle:
             hashes = [xxh64_intdigest(line, seed)]
@@ -64,16 +102,15 @@ def signer(whole: bool, shingle: int = SHINGLE, segments: int = SEGMENTS, places
         node = int(np.uint64(xxh64_intdigest(own.astype("<u8").tobytes(), seed)).view(np.int64))
         if whole:
             return {"node": node, "shingles": own.view(np.int64)}
-        least = np.array([(own * a + b).min() for a, b in zip(odd, add, strict=True)], "<u8").reshape(segments, places)
-        keys = [xxh64_intdigest(np.delete(least[s], p).tobytes(), s * places + p) for s in range(segments) for p in range(places)]
+        segments = segments_of(own)
         parity = np.bincount((own & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-        return {"node": node, "size": len(own), "keys": np.array(keys, np.uint64).view(np.int64), "sketch": np.packbits(parity.astype(bool), bitorder="little").view("<i8")}
+        return {"node": node, "size": len(own), "keys": variants(segments), "prints": segments @ (1 << BITS * np.arange(SEGMENTS)), "sketch": np.packbits(parity.astype(bool), bitorder="little").view("<i8")}
 
     return signed
 
 
 def signature(text: Column, whole: bool = False) -> Column:
-    """node, size, keys and sketch, or node and shingles."""
+    """node, size, keys, prints and sketch, or node and shingles."""
     names = (_WHOLE if whole else _SIGNED).names
 
     def make():
@@ -83,11 +120,14 @@ def signature(text: Column, whole: bool = False) -> Column:
     return row_udf(make, _WHOLE if whole else _SIGNED)(text)
 
 
+def _differ(name: str, words: int) -> Column:
+    return sum((F.bit_count(F.col(f"u_{name}")[i].bitwiseXOR(F.col(f"v_{name}")[i])) for i in range(words)), F.lit(0))
+
+
 def _close() -> Column:
-    """Whether sets u and v may have a similarity of 0.8 or more, by their sizes and sketches."""
+    """Whether sets u and v may have a similarity of 0.8 or more, by their sizes, fingerprints and sketches."""
     a, b = F.col("u_size"), F.col("v_size")
-    differ = sum((F.bit_count(F.col("u_sketch")[i].bitwiseXOR(F.col("v_sketch")[i])) for i in range(SKETCH)), F.lit(0))
-    return (5 * F.least(a, b) >= 4 * F.greatest(a, b)) & (9 * differ <= a + b)
+    return (5 * F.least(a, b) >= 4 * F.greatest(a, b)) & (_differ("prints", PRINTS) <= MOST_BITS) & (9 * _differ("sketch", SKETCH) <= a + b)
 
 
 def _side(rows: DataFrame, side: str, *names: str) -> DataFrame:
@@ -111,9 +151,9 @@ def _crossing(met: DataFrame, roots: DataFrame, members: DataFrame) -> DataFrame
     each = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     keys = each.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("main")).where("roots > 1").select("key", "main")
     left = rows.join(checkpointed(keys), "key")
-    wide = checkpointed(left.join(members.select("fp", "size", "sketch"), "fp"))
-    a = _side(wide.where("root <> main"), "u", "key", "fp", "root", "main", "size", "sketch")
-    b = _side(wide, "v", "key", "fp", "root", "size", "sketch")
+    wide = checkpointed(left.join(members.select("fp", "size", "prints", "sketch"), "fp"))
+    a = _side(wide.where("root <> main"), "u", "key", "fp", "root", "main", "size", "prints", "sketch")
+    b = _side(wide, "v", "key", "fp", "root", "size", "prints", "sketch")
     meet = (a["key"] == b["key"]) & (F.col("u_root") != F.col("v_root")) & ((F.col("v_root") == F.col("u_main")) | (F.col("u") < F.col("v"))) & _close()
     return a.join(b, meet).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
@@ -122,17 +162,17 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """doc_id, fp (its set's hash), component_id and component (its smallest hash) of every row."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = rows.select("doc_id", signature(F.col("text")).alias("s"))
-    marked = checkpointed(signed.select("doc_id", F.col("s.node").alias("fp"), F.col("s.size").alias("size"), F.col("s.keys").alias("keys"), F.col("s.sketch").alias("sketch")))
+    marked = checkpointed(signed.select("doc_id", F.col("s.node").alias("fp"), F.col("s.size").alias("size"), F.col("s.keys").alias("keys"), F.col("s.prints").alias("prints"), F.col("s.sketch").alias("sketch")))
     keyed = marked.select("fp", F.explode("keys").alias("key")).distinct()
     met = checkpointed(keyed.join(checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")), "key"))
     scores = met.groupBy("fp").agg(F.sum("n").alias("score"))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))  # copies are summed up before they are dealt out
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("prints").alias("prints"), F.first("sketch").alias("sketch"))  # copies are summed up before they are dealt out
     members = checkpointed(distinct.join(scores, "fp"))
 
     centres = checkpointed(met.join(members.select("fp", "score"), "fp").groupBy("key").agg(F.max(F.struct("score", "fp"))["fp"].alias("centre")))
     star = met.join(centres, "key").where("fp <> centre").select(F.col("fp").alias("u"), F.col("centre").alias("v")).distinct()
-    star = star.join(_side(members, "u", "fp", "size", "sketch"), "u")
-    beside = _side(members, "v", "fp", "size", "sketch", "score")
+    star = star.join(_side(members, "u", "fp", "size", "prints", "sketch"), "u")
+    beside = _side(members, "v", "fp", "size", "prints", "sketch", "score")
     sets = _sets(rows, members)
     linked = checkpointed(similar(star.join(beside, (star["v"] == beside["v"]) & _close()).select("u", beside["v"], "v_score"), sets))
 

@@ -1,6 +1,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import xxhash
 from helpers import documents
 
 from corpusloom.llm import nearcopies
@@ -71,3 +73,43 @@ def test_repeats_ties_and_an_empty_table(spark):
     found = sorted((str(r.doc_id), r.component_id) for r in nearcopies.grouped(docs).collect())
     assert found == [("1", 1), ("1", 1), ("2", 2), ("3", 2), ("None", 1)]
     assert nearcopies.dedup(docs).count() == 2 and nearcopies.dedup(docs.limit(0)).count() == 0
+
+
+def test_keys_are_deletion_variants_of_simhash_bits():
+    """Every bit by a weighted vote of all shingles, in whole numbers; every key is a fingerprint without one segment."""
+    text = " ".join(f"w{k * k % 97}" for k in range(60))
+    hashes = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in shingles(text)]
+    mask, wanted, keys = (1 << 64) - 1, [], []
+    for n, own in enumerate(np.random.default_rng(nearcopies.SEED).integers(0, 1 << 64, 5 * nearcopies.PRINTS, np.uint64).tolist()):
+        votes, total = [0] * 12, 0
+        for h in hashes:
+            x = (h + own) & mask
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+            x ^= x >> 31
+            weight = 2**48 // ((x >> 44) + 1) ** 2
+            total += weight
+            votes = [v + weight * (x >> b & 1) for b, v in enumerate(votes)]
+        wanted.append("".join("01"[2 * v > total] for v in votes))
+    for n in range(0, len(wanted), 5):
+        for left_out in range(5):
+            rest = [w for s, w in enumerate(wanted[n : n + 5]) if s != left_out]
+            keys.append(int("".join(rest)[::-1], 2) + ((n + left_out) << 48))
+    signed = nearcopies.signer(False)(text)
+    assert [format(p, "060b")[::-1] for p in signed["prints"].tolist()] == ["".join(wanted[n : n + 5]) for n in range(0, len(wanted), 5)]
+    assert signed["keys"].tolist() == keys
+
+
+def test_fingerprints_find_pairs_at_the_threshold():
+    """Sets at 0.8, the worst case: nearly all pairs meet, none is rejected by its distance; unlike sets do neither."""
+    rng, votes, met, pairs = np.random.default_rng(7), nearcopies.voter(), 0, 0
+    for n in (5, 10, 50, 500):  # n shingles together, four fifths of them in both sets
+        for _ in range(150):
+            hashes = rng.integers(0, 1 << 64, n, np.uint64)
+            a, b, c = (votes(x) for x in (hashes[: n - n // 10], hashes[max(1, n // 10) :], rng.integers(0, 1 << 64, n, np.uint64)))
+            met += bool(set(nearcopies.variants(a)) & set(nearcopies.variants(b)))
+            pairs += 1
+            far = [sum(int(x).bit_count() for x in (a ^ y).ravel()) for y in (b, c)]
+            assert far[0] <= nearcopies.MOST_BITS < far[1]
+            assert not set(nearcopies.variants(a)) & set(nearcopies.variants(c))
+    assert met >= 0.99 * pairs
