@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.operators.chains import both_ways
 from corpusloom.operators.streams import with_neighbours
@@ -14,10 +20,9 @@ SCALE = 1_000_000
 
 def conflict_losses(pairs: DataFrame) -> DataFrame:
     """u, loss (weight lost whichever order is chosen) and directed (weight of all its pairs)."""
-    loss = both_ways(pairs).groupBy("u").agg(F.sum(F.least("w", "back")).alias("loss"), F.sum("w").alias("out"))
-    into = pairs.groupBy(F.col("v").alias("u")).agg(F.sum("w").alias("into"))
-    zero = F.lit(0).cast("long")
-    return loss.join(into, "u", "full").select("u", F.coalesce("loss", zero).alias("loss"), (F.coalesce("out", zero) + F.coalesce("into", zero)).alias("directed"))
+    lost, all_of = F.least("up", "down").alias("loss"), (F.col("up") + F.col("down")).alias("directed")
+    ends = both_ways(pairs).select(F.explode(F.array("a", "b")).alias("u"), lost, all_of)
+    return ends.groupBy("u").agg(F.sum("loss").alias("loss"), F.sum("directed").alias("directed"))
 
 
 def select_parents(losses: DataFrame, n: int, min_share_percent: int = 5) -> DataFrame:
@@ -43,25 +48,44 @@ def renumbering(size: int, parents: DataFrame) -> DataFrame:
     return parents.sparkSession.range(size).join(extra, "id", "left").select("id", (F.col("id") + below).alias("new_id"))
 
 
-#: Rows of a table by id that goes to every executor; a larger one is joined by a shuffle.
-MOST_BROADCAST_ROWS = 2_000_000
+def _parents(plan: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parents of a plan in order, where their copies begin, and the copies' new ids and targets: flat arrays of its size."""
+    columns = [c for c in ("old_index", "new_index", "target_scaled") if c in plan.columns]
+    found = plan.select(*columns).toArrow()
+    old, new, target = (found.column(c if c in columns else "old_index").to_numpy().astype(np.int64) for c in ("old_index", "new_index", "target_scaled"))
+    order = np.lexsort((new, old))
+    parents, starts = np.unique(old[order], return_index=True)
+    return parents, np.append(starts, len(order)), new[order], target[order]
+
+
+def _renumbered(rows: DataFrame, key: str, size: int, new_ids: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], more: str) -> DataFrame:
+    """key, pos, new_id of the rows with an id below ``size``, by a function of ids, of column ``more`` and of where that is null."""
+    schema = T.StructType([rows.schema[key], T.StructField("pos", T.LongType()), T.StructField("new_id", T.LongType())])
 
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pc.and_(pc.greater_equal(batch.column("id"), 0), pc.less(batch.column("id"), size)))
+            ids, other = (pc.fill_null(batch.column(c), -1).to_numpy(zero_copy_only=False) for c in ("id", "more"))
+            new = new_ids(ids, other, batch.column("more").is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("pos"), pa.array(new, pa.int64())], names=schema.names)
 
-def bounded(table: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
-    """The table, written down, and marked for broadcast where its counted rows allow."""
-    table = written(table)
-    return F.broadcast(table) if table.count() <= most else table
+    return rows.select(key, F.col("pos").cast("long").alias("pos"), F.col("id").cast("long").alias("id"), F.col(more).cast("long").alias("more")).mapInArrow(run, schema)
 
 
 def apply_duplicates(rows: DataFrame, plan: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
     """key, pos, new_id: a parent takes its late place where the token before it stands above it in the order.
 
-    New ids come by a join with a table of the vocabulary's ``size``, of which the plan is a part.
+    The plan's parents, vocabulary's ``size`` at most, go to the executors as a flat array; rows aren't shuffled.
     """
-    parents = plan.select(F.col("old_index").alias("id"), F.lit(1).alias("extra"))
-    table = bounded(renumbering(size, parents).join(parents, "id", "left"))
-    late = F.col("extra").isNotNull() & F.coalesce(F.col("before") > F.col("id"), F.lit(False))
-    return with_neighbours(rows, key).join(table, "id").select(key, "pos", (F.col("new_id") + F.when(late, 1).otherwise(0)).alias("new_id"))
+    sent = rows.sparkSession.sparkContext.broadcast(_parents(plan.select("old_index"))[0])
+
+    def run(ids: np.ndarray, before: np.ndarray, none: np.ndarray) -> np.ndarray:
+        parents = sent.value
+        below = np.searchsorted(parents, ids)
+        own = np.append(parents, -1)[below] == ids
+        return ids + below + (own & ~none & (before > ids))
+
+    return _renumbered(with_neighbours(rows, key), key, size, run, "before")
 
 
 def position_histogram(ids: DataFrame, bins: int) -> DataFrame:
@@ -82,7 +106,7 @@ def select_k(histogram: DataFrame, bins: int, k_max: int = 6, mass_percent: int
 
     Targets are the parts' centres of mass, as whole millionths. Tokens without such k >= 2 have one copy.
     """
-    rows = []
+    rows, histogram = [], written(histogram)  # of vocabulary size, and read twice
     for k in range(1, k_max + 1):
         edges = [bins * i // k for i in range(k + 1)]
         part = F.lit(0)
@@ -111,7 +135,7 @@ def fixed_k(tokens: DataFrame, k: int) -> DataFrame:
 
 def kway_plan(chosen: DataFrame) -> DataFrame:
     """old_index, new_index, copy, target_scaled for tokens of two copies or more; ids above move up by the extra places."""
-    kept = chosen.where("k >= 2")
+    kept = written(chosen.where("k >= 2"))  # of vocabulary size, and read twice
     parents = kept.select("token_id", "k").distinct()
     extra = F.coalesce(F.sum(F.col("k") - 1).over(Window.orderBy("token_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = parents.select("token_id", (F.col("token_id") + extra).alias("base"))  # as many rows as parents
@@ -122,10 +146,24 @@ def apply_kway(rows: DataFrame, plan: DataFrame, place: str, size: int, key: str
     """key, pos, new_id: a token with copies takes that whose target is nearest to ``place``, a column of millionths.
 
     Ties go to the lower copy; without a place (the first token, where predecessors decide) it's the first copy.
-    All ids and their copies are one table of the vocabulary's ``size`` that the tokens are joined with.
+    The plan, a few times the vocabulary's ``size``, goes to the executors as flat arrays; rows aren't shuffled.
     """
-    copies = plan.groupBy(F.col("old_index").alias("id")).agg(F.array_sort(F.collect_list(F.struct("new_index", "target_scaled"))).alias("copies"))
-    table = bounded(renumbering(size, copies.select("id", (F.size("copies") - 1).alias("extra"))).join(copies, "id", "left"))
-    ranked = F.array_min(F.transform("copies", lambda c: F.struct(F.abs(c["target_scaled"] - F.col(place)).alias("d"), c["new_index"].alias("i"))))["i"]
-    nearest = F.when(F.col(place).isNull(), F.element_at("copies", 1)["new_index"]).otherwise(ranked)
-    return rows.join(table, "id").select(key, "pos", F.when(F.col("copies").isNotNull(), nearest).otherwise(F.col("new_id")).alias("new_id"))
+    sent = rows.sparkSession.sparkContext.broadcast(_parents(plan))
+
+    def run(ids: np.ndarray, places: np.ndarray, none: np.ndarray) -> np.ndarray:
+        parents, starts, new, target = sent.value
+        below = np.searchsorted(parents, ids)
+        out = ids + starts[below] - below  # each parent below takes one place less than it has copies
+        at = np.flatnonzero(np.append(parents, -1)[below] == ids)
+        first, end = starts[below[at]], starts[below[at] + 1] if len(at) else starts[below[at]]
+        chosen, least = first.copy(), np.abs(target[first] - places[at]) if len(at) else first
+        for k in range(1, int((end - first).max(initial=0))):
+            nearer = np.flatnonzero((first + k < end) & ~none[at])
+            distance = np.abs(target[first[nearer] + k] - places[at[nearer]])
+            better = distance < least[nearer]
+            nearer = nearer[better]
+            least[nearer], chosen[nearer] = distance[better], first[nearer] + k
+        out[at] = new[chosen] if len(at) else out[at]
+        return out
+
+    return _renumbered(rows, key, size, run, place)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.operators.chains import chain_histogram, chain_steps, chain_summary, next_token_steps
-from corpusloom.operators.streams import chain_lists, chain_rows, clause_rows, computed, remapped, token_rows
+from corpusloom.operators.streams import chain_rows, clause_rows, computed, context_rows, remapped, token_rows
 
 
 def normalized(records: DataFrame) -> DataFrame:
@@ -54,20 +54,8 @@ def context_steps(documents: DataFrame, recent: int, depth: int, key: str = "doc
     """pos, ctx, target for each place but the first: the ``recent`` ids before it one by one, and before those the
     last ``depth`` chains, the last of them up to where the recent ids begin. Steps are parted by ``|``, ids in a
     step by a space.
-
-    A document's chains stay one array; each place takes slices of it.
     """
-    lists = documents.select(key, "ids", chain_lists().alias("_l"))
-    begins = F.transform("_l", lambda x, i: F.transform(x, lambda _, j: F.struct(i.alias("c"), j.alias("a"))))
-    rows = lists.select(key, "ids", "_l", F.flatten(begins).alias("_w")).select("*", F.posexplode("ids").alias("_p", "target")).where("_p > 0")
-    spot = F.get("_w", F.col("_p") - recent - 1)  # where the place before the recent ids lies
-    text = lambda x: F.array_join(x.cast("array<string>"), " ")
-    cut = F.slice(F.get("_l", spot["c"]), F.lit(1), spot["a"] + 1)
-    early = F.greatest(spot["c"] - (depth - 1), F.lit(0))
-    front = F.concat(F.transform(F.slice("_l", early + 1, spot["c"] - early), text), F.array(text(cut)))
-    tail = F.slice("ids", F.greatest(F.col("_p") - recent, F.lit(0)) + 1, F.least(F.col("_p"), F.lit(recent))).cast("array<string>")
-    ctx = F.concat(F.when(spot.isNotNull(), front).otherwise(F.array().cast("array<string>")), tail)
-    return rows.select(key, F.col("_p").cast("long").alias("pos"), F.array_join(ctx, "|").alias("ctx"), "target")
+    return context_rows(documents, recent, depth, key)
 
 
 def split_points(documents: DataFrame, seed: int, key: str = "doc_id") -> DataFrame:
@@ -85,11 +73,8 @@ def split_points(documents: DataFrame, seed: int, key: str = "doc_id") -> DataFr
 
 def hybrid_steps(documents: DataFrame, cap: int | None = None, key: str = "doc_id") -> DataFrame:
     """step, input and target: chains before the document's ``split`` place, single ids from it on."""
-    split = F.col("split").cast("int")
-    halves = documents.select(key, *[F.slice(c, F.lit(1), split).alias(f"_{c}") for c in ("ids", "clauses")], F.slice("ids", split + 1, F.greatest(F.size("ids") - split, F.lit(0))).alias("_back"))
-    steps = halves.select(key, F.concat(chain_lists(cap=cap, ids="_ids", clauses="_clauses"), F.transform("_back", lambda x: F.array(x))).alias("_s"))
-    rows = steps.select(key, "_s", F.posexplode("_s").alias("step", "input"))
-    return rows.select(key, "step", "input", F.get(F.get("_s", F.col("step") + 1), F.lit(0)).alias("target")).where("target is not null")
+    rows = chain_rows(documents, key, cap=cap, split="split")
+    return rows.select(key, F.col("chain").alias("step"), F.col("ids").alias("input"), F.col("next_first").alias("target")).where("target is not null")
 
 
 def with_closing_quotes(records: DataFrame, quote: int, closing: int, keys: list[str]) -> DataFrame:
